@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, cutoff, percentiles, termcounts, topn
+from plumbline.llm import bpe, clusters, cutoff, neighbours, packing, percentiles, subjects, termcounts, topn
+from plumbline.llm.signatures import unit_vectors
 from plumbline.session import materialize
 from plumbline.tables import current_rows, lane, status, table, usable
 
@@ -41,6 +42,54 @@ _LANE_SQL = "coalesce(nullif(translate(lower(trim(lane, chr(32) || chr(9) || chr
 _STATUS_SQL = "upper(trim(status, chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)))"
 
 
+# -- p1, p2 -----------------------------------------------------------------------------------------------------------
+
+_SIGNATURES = {"boundary_signature": 6, "visible_body_signature": 5}
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "parser_metrics").select("run_id", "image", "metric_id", "loaded_at", *_SIGNATURES)
+    return materialize(unit_vectors(current_rows(rows, "metric_id"), "metric_id", _SIGNATURES), "signatures")
+
+
+@query()
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one row is among the ten most similar of the other, at a similarity of 0.999998 or more."""
+    near = neighbours.nearest_neighbours(_vectors(spark, sf_dir), 10, least=0.999998)
+    return near.select(F.least("id", "neighbour").alias("metric_id_a"), F.greatest("id", "neighbour").alias("metric_id_b")).distinct()
+
+
+@query()
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar rows of every row, with their similarity."""
+    near = neighbours.nearest_neighbours(_vectors(spark, sf_dir), 10)
+    return near.select(F.col("id").alias("metric_id"), F.col("neighbour").alias("neighbour_id"), "similarity")
+
+
+@query()
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the true ten most similar rows that the forest finds, over the rows whose id is divisible by 50."""
+    vectors = _vectors(spark, sf_dir)
+    exact = neighbours.exact_neighbours(vectors, vectors.filter("id % 50 = 0"), 10)
+    near = neighbours.nearest_neighbours(vectors, 10)
+    both = exact.join(near.select("id", "neighbour", F.lit(1).alias("hit")), ["id", "neighbour"], "left")
+    return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the groups of at least 8 rows that similarities of 0.9999 or more hold together."""
+    return clusters.cluster_members(_vectors(spark, sf_dir), 0.9999, 8).select("cluster_id", F.col("id").alias("metric_id"))
+
+
+@query()
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every such group with its size and the members of its densest cell."""
+    vectors = _vectors(spark, sf_dir)
+    members = materialize(clusters.cluster_members(vectors, 0.9999, 8), "members")
+    return clusters.describe_clusters(members, vectors, 0.9999)
+
+
 # -- p3 ---------------------------------------------------------------------------------------------------------------
 
 _TERMS = {"anchor_candidates": "candidate_id", "view_routes": "route_id"}
@@ -198,3 +247,66 @@ def p6_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids by byte_bpe_50k."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+# -- p8 ---------------------------------------------------------------------------------------------------------------
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = bpe.count_tokens(table(spark, sf_dir, "documents"), keep=("doc_id", "source"), name="size")
+    return packing.pack(sizes.withColumnRenamed("doc_id", "id"), 1024)
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be cut: those with a second piece."""
+    return _packed(spark, sf_dir).filter("piece = 1").select(F.col("id").alias("doc_id"))
+
+
+@query()
+def p8_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with container, start and tokens."""
+    return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of containers, tokens and the share of the containers' room that is used."""
+    boxes = _packed(spark, sf_dir).filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("tokens").alias("tokens"))
+    return boxes.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (1024 * F.count("*"))).alias("fill"))
+
+
+# -- p9 ---------------------------------------------------------------------------------------------------------------
+
+#: Spellings of the languages (fixed values); others read as no language.
+_LANGUAGES = {"en": "en", "en-gb": "en", "eng": "en", "de": "de", "ger": "de", "deu": "de", "es": "es", "spa": "es", "zh": "zh", "zh-cn": "zh", "chi": "zh"}
+
+
+def _subjects(spark: SparkSession, sf_dir: str):
+    spelled = F.create_map(*[F.lit(x) for pair in _LANGUAGES.items() for x in pair])
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.try_element_at(spelled, F.lower(F.trim("lang"))).alias("lang"), "text")
+    areas = [r.area for r in table(spark, sf_dir, "subject_areas").orderBy("area").collect()]  # a fixed, small table
+    return subjects.fit_subjects(documents, areas, table(spark, sf_dir, "subject_examples").withColumnRenamed("doc_id", "id"))
+
+
+@query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's areas."""
+    model, encoded = _subjects(spark, sf_dir)
+    return subjects.assign_subjects(encoded, model).select(F.col("id").alias("doc_id"), "area")
+
+
+@query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each area's documents and its share of all documents."""
+    model, encoded = _subjects(spark, sf_dir)
+    everything = table(spark, sf_dir, "documents").count()
+    return subjects.assign_subjects(encoded, model).groupBy("area").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / F.lit(everything))
+
+
+@query()
+def p9_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics with their inspected top terms and the area these gave them."""
+    model, _ = _subjects(spark, sf_dir)
+    rows = [(k, model.area_of[k], model.top_terms(k, 20)) for k in range(model.topics.shape[1])]
+    return spark.createDataFrame(rows, "topic int, area string, top_terms array<string>")
