@@ -4,8 +4,8 @@
    no sentences. Terms are counted over all documents; the most frequent ones form the vocabulary.
 2. A topic model is fitted by variational expectation maximisation: each round is one job over all documents, in which
    every task infers its documents' topic proportions and adds up expected term counts per topic; the sums of the
-   bounded vocabulary are the next topics. One topic per area starts from the hand-labelled documents, some background
-   topics start from the languages' own term frequencies, and a labelled document's prior leans to its areas.
+   bounded vocabulary are the next topics. One topic per area and language starts from the hand-labelled documents,
+   one background topic per language from its own term frequencies, and a labelled document's prior leans to its areas.
 3. Each topic's top terms are inspected: the areas whose labelled documents hold these terms most give the topic its
    area, or none where no area stands out.
 4. A sentence treats the area whose topics explain its terms best against the mean of all areas, if by enough. A
@@ -32,7 +32,8 @@ from plumbline.session import materialize
 #: Parameters of the model. MAX_TERMS bounds what is broadcast: MAX_TERMS x topics numbers.
 MAX_TERMS, MIN_DOCUMENTS, ROUNDS, INNER_ROUNDS = 24_000, 3, 5, 6
 PRIOR, LABEL_PRIOR, SMOOTH = 0.1, 4.0, 0.02
-BACKGROUNDS = ("en", "de", "es", "zh", "")
+LANGUAGES = ("en", "de", "es", "zh")
+BACKGROUNDS = (*LANGUAGES, "")
 #: How many top terms of a topic are inspected, the least advantage of its area, and of a sentence's.
 TOP_TERMS, LEAST_SHARE, LEAST_SCORE = 60, 0.3, 1.2
 SHARE = 0.25
@@ -57,7 +58,9 @@ def sentences(text: str | None) -> list[str]:
         line = _PREFIX.sub("", line, count=1)
         for sentence in _END.split(line):
             sentence = _CODE.sub(" ", sentence)
-            if _WORD.search(sentence):
+            words = _WORD.findall(sentence)
+            # a lone word or sign after a sentence is none itself
+            if len(words) > 1 or words and len(words[0]) > 2 and _HAN.search(words[0]):
                 found.append(sentence)
     return found
 
@@ -140,9 +143,9 @@ def _tokens(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]
     return owner[known], codes[known]
 
 
-def _start(encoded: DataFrame, size: int, areas: list[str]) -> np.ndarray:
-    """Term counts of the areas' labelled documents and of the languages: size x (areas + backgrounds)."""
-    width = len(areas) + len(BACKGROUNDS)
+def _start(encoded: DataFrame, size: int, areas: int) -> np.ndarray:
+    """Term counts of the areas' labelled documents by language, then of the languages: size x topics."""
+    width = areas * len(LANGUAGES) + len(BACKGROUNDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, width))
@@ -151,11 +154,12 @@ def _start(encoded: DataFrame, size: int, areas: list[str]) -> np.ndarray:
                 batch = whole.slice(start, 1024)
                 weight = np.zeros((batch.num_rows, width))
                 for i, (lang, own) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("areas").to_pylist())):
-                    for a in own or ():
-                        weight[i, a] = 1 / len(own)
-                    weight[i, len(areas) + BACKGROUNDS.index(lang if lang in BACKGROUNDS else "")] = 1
+                    known = lang in LANGUAGES
+                    for a in own or () if known else ():
+                        weight[i, a * len(LANGUAGES) + LANGUAGES.index(lang)] = 1 / len(own)
+                    weight[i, areas * len(LANGUAGES) + BACKGROUNDS.index(lang if known else "")] = 1
                 owner, code = _tokens(batch, "codes")
-                for k in range(width):
+                for k in np.flatnonzero(weight.any(0)):
                     w = weight[owner, k]
                     used = np.flatnonzero(w)
                     total[:, k] += np.bincount(code[used], w[used], size)
@@ -186,10 +190,42 @@ def _topics(counts: np.ndarray) -> np.ndarray:
     return smoothed / smoothed.sum(0)
 
 
+def _by_language(phi: np.ndarray, first: int, owner: np.ndarray, code: np.ndarray, counts: np.ndarray, documents: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(topics, tokens): a document of one language needs that language's topics and the backgrounds, another one all."""
+    langs = len(LANGUAGES)
+    backgrounds = np.arange(first, phi.shape[1])
+    weight = phi[code, first : first + langs]
+    weight = weight / weight.sum(1, keepdims=True) * counts[:, None]
+    held = np.zeros((documents, langs))
+    for k in range(langs):
+        held[:, k] = np.bincount(owner, weight[:, k], documents)
+    main = np.where(held.max(1) >= 0.9 * held.sum(1), held.argmax(1), -1)
+    for k in range(-1, langs):
+        tokens = np.flatnonzero(main[owner] == k)
+        if len(tokens):
+            yield np.concatenate([np.arange(first) if k < 0 else np.arange(k, first, langs), backgrounds]), tokens
+
+
+def _expect(phi: np.ndarray, prior: np.ndarray, owner: np.ndarray, code: np.ndarray, counts: np.ndarray, total: np.ndarray, columns: np.ndarray) -> None:
+    """Infer the topic proportions of documents (tokens sorted by owner) and add the expected term counts to total."""
+    likely = phi[code]
+    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    theta = prior + np.float32(1)
+    for _ in range(INNER_ROUNDS):
+        share = likely * theta[owner]
+        share *= (counts / share.sum(1))[:, None]
+        theta = prior.copy()
+        theta[owner[edges]] += np.add.reduceat(share, edges, axis=0)
+    order = np.argsort(code, kind="stable")
+    at = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+    total[np.ix_(code[order][at], columns)] += np.add.reduceat(share[order], at, axis=0)
+
+
 def _round(encoded: DataFrame, topics: np.ndarray, areas: int) -> np.ndarray:
     """One round of expectation over all documents: expected term counts per topic."""
-    sent = encoded.sparkSession.sparkContext.broadcast(topics)
+    sent = encoded.sparkSession.sparkContext.broadcast(topics.astype(np.float32))
     size, width = topics.shape
+    first = areas * len(LANGUAGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phi, total = sent.value, np.zeros((size, width))
@@ -200,23 +236,15 @@ def _round(encoded: DataFrame, topics: np.ndarray, areas: int) -> np.ndarray:
                 if not len(owner):
                     continue
                 pairs, counts = np.unique(owner.astype(np.int64) * size + code, return_counts=True)
-                owner, code = pairs // size, pairs % size
-                prior = np.full((batch.num_rows, width), PRIOR)
+                owner, code, counts = pairs // size, pairs % size, counts.astype(np.float32)
+                prior = np.full((batch.num_rows, width), PRIOR, np.float32)
                 for i, own in enumerate(batch.column("areas").to_pylist()):
                     if own:
-                        prior[i, :areas] = PRIOR / 20
-                        prior[i, own] = LABEL_PRIOR
-                likely = phi[code]
-                edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                theta = prior + 1.0
-                for _ in range(INNER_ROUNDS):
-                    share = likely * theta[owner]
-                    share *= (counts / share.sum(1))[:, None]
-                    theta = prior.copy()
-                    theta[owner[edges]] += np.add.reduceat(share, edges, axis=0)
-                order = np.argsort(code, kind="stable")
-                at = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
-                total[code[order][at]] += np.add.reduceat(share[order], at, axis=0)
+                        prior[i, :first] = PRIOR / 20
+                        for a in own:
+                            prior[i, a * len(LANGUAGES) : (a + 1) * len(LANGUAGES)] = LABEL_PRIOR
+                for columns, tokens in _by_language(phi, first, owner, code, counts, batch.num_rows):
+                    _expect(phi[:, columns], prior[:, columns], owner[tokens], code[tokens], counts[tokens], total, columns)
         yield from _partial(total)
 
     found = _gather(encoded, run, size, width)
@@ -239,15 +267,20 @@ class SubjectModel:
         self.advantage[:, mapped] = np.log((by_area[:, mapped] + 1e-12) / (mean + 1e-12)[:, None])
 
     def top_terms(self, topic: int, n: int = TOP_TERMS) -> list[str]:
-        """The terms that a topic holds most of beyond the other topics."""
-        mean = self.topics.mean(1)
-        weight = self.topics[:, topic] * np.log(self.topics[:, topic] / mean)
+        """The terms that a topic holds most of beyond the background topics (of a background, beyond all topics)."""
+        areas = len(self.areas) * len(LANGUAGES)
+        usual = self.topics[:, areas:].max(1) if topic < areas else self.topics.mean(1)
+        weight = self.topics[:, topic] * np.log(self.topics[:, topic] / usual)
         return [self.terms[i] for i in np.argsort(-weight, kind="stable")[:n]]
 
 
 def map_topics(terms_: list[str], topics: np.ndarray, labelled: np.ndarray, areas: list[str]) -> list[str | None]:
-    """The area of each topic by its top terms: the area whose labelled documents hold them most, beyond its size."""
-    rate = labelled / np.maximum(labelled.sum(0), 1e-9)
+    """The area of each topic by its top terms: the area whose labelled documents hold them most, beyond its size.
+
+    labelled: the start's counts, terms x (areas by languages).
+    """
+    rate = labelled / np.maximum(labelled.sum(0), 1.0)
+    rate = rate.reshape(len(terms_), len(areas), len(LANGUAGES)).sum(2)
     share = rate / np.maximum(rate.sum(1, keepdims=True), 1e-12)
     probe = SubjectModel(terms_, topics, [None] * topics.shape[1], areas)
     number = {t: i for i, t in enumerate(terms_)}
@@ -267,8 +300,8 @@ def fit_subjects(documents: DataFrame, areas: list[str], examples: DataFrame, ro
     number = F.create_map(*[x for i, a in enumerate(areas) for x in (F.lit(a), F.lit(i))]) if areas else F.lit(None)
     labels = examples.filter(F.col("area").isin(areas)).groupBy("id").agg(F.sort_array(F.collect_set(number[F.col("area")])).alias("areas"))
     encoded = materialize(_encode(split, words).join(labels, "id", "left"), "encoded")
-    start = _start(encoded, len(words), areas)
-    labelled = start[:, : len(areas)]
+    start = _start(encoded, len(words), len(areas))
+    labelled = start[:, : len(areas) * len(LANGUAGES)]
     topics = _topics(start) if len(words) else start
     for _ in range(rounds if len(words) else 0):
         topics = _topics(_round(encoded, topics, len(areas)))
