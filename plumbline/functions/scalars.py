@@ -198,9 +198,9 @@ def view_family_of_text(c: ColumnLike) -> Column:
 
 # F31
 def path_key(c: ColumnLike) -> Column:
-    """A path as a key: slashes forward, no run of them, no ./ before it, lower case; blank is null."""
-    p = F.lower(F.regexp_replace(F.regexp_replace(F.trim(col(c)), r"[\\/]+", "/"), r"^(\./)+", ""))
-    return F.nullif(p, F.lit(""))
+    """A path as a key: slashes forward, no ./ before it, no slash at its ends, lower case; blank is null."""
+    forward = F.regexp_replace(F.translate(F.trim(col(c)), "\\", "/"), r"^(\./)+", "")
+    return F.nullif(F.lower(F.trim(forward, F.lit("/"))), F.lit(""))
 
 
 def base_name(c: ColumnLike) -> Column:

@@ -52,6 +52,8 @@ def class_metrics(cells: DataFrame, expected: str = "expected", predicted: str =
 # A05
 def overall_metrics(cells: DataFrame, safe: str, by: Sequence[str] = ()) -> DataFrame:
     """accuracy, macro F1 over the classes that occur, false rate of the class safe, and the safety composite."""
+    if not by:
+        return overall_metrics(cells.withColumn("__whole", F.lit(0)), safe, ["__whole"]).drop("__whole")
     classes = class_metrics(cells, by=by)
     macro = classes.groupBy(*by).agg(F.avg("f1").alias("macro_f1"), F.coalesce(F.max(F.when(F.col("class") == safe, F.col("precision"))), F.lit(1.0)).alias("safe_precision"))
     totals = cells.groupBy(*by).agg(
@@ -59,8 +61,7 @@ def overall_metrics(cells: DataFrame, safe: str, by: Sequence[str] = ()) -> Data
         F.sum(F.when(F.col("expected") == F.col("predicted"), F.col("weight")).otherwise(0.0)).alias("__hit"),
         F.sum(F.when((F.col("predicted") == safe) & (F.col("expected") != safe), F.col("weight")).otherwise(0.0)).alias("__false"),
     )
-    both = totals.join(macro, list(by)) if by else totals.crossJoin(F.broadcast(macro))  # one row each
-    both = both.withColumn("accuracy", F.coalesce(share("__hit", "weight_sum"), F.lit(0.0))).withColumn("false_rate", F.coalesce(share("__false", "weight_sum"), F.lit(0.0)))
+    both = totals.join(macro, list(by)).withColumn("accuracy", F.coalesce(share("__hit", "weight_sum"), F.lit(0.0))).withColumn("false_rate", F.coalesce(share("__false", "weight_sum"), F.lit(0.0)))
     safety = 0.45 * F.col("macro_f1") + 0.35 * F.col("safe_precision") + 0.20 * (1.0 - F.col("false_rate"))
     return both.select(*by, "weight_sum", "accuracy", "macro_f1", "safe_precision", "false_rate", safety.alias("safety"))
 
@@ -217,10 +218,12 @@ def bucket_stats(df: DataFrame, bucket: str, value: str) -> DataFrame:
 
 def stats_with_fallback(stats: DataFrame, wanted: DataFrame, bucket: str) -> DataFrame:
     """For each wanted bucket its own statistics if it has rows, else those of 'all'."""
-    own = stats.filter("level <> 'all' AND n >= 1").select(F.col("level").alias(bucket), F.struct("n", "mean", "low", "high").alias("own"))
-    whole = stats.filter("level = 'all'").select(F.struct("n", "mean", "low", "high").alias("whole"))
-    picked = wanted.join(own, bucket, "left").crossJoin(F.broadcast(whole)).withColumn("s", F.coalesce("own", "whole"))  # one row
-    return picked.select(bucket, "s.*", F.col("own").isNull().alias("fell_back"))
+    measures = ("n", "mean", "low", "high")
+    own = stats.filter("level <> 'all' AND n >= 1").select(F.col("level").alias(bucket), *[F.col(m).alias(f"__{m}") for m in measures])
+    whole = stats.filter("level = 'all'").select(*measures).first()  # one row
+    fell_back = F.col("__n").isNull()
+    values = [F.when(fell_back, F.lit(whole[m] if whole else None)).otherwise(F.col(f"__{m}")).alias(m) for m in measures]
+    return wanted.join(own, bucket, "left").select(bucket, *values, fell_back.alias("fell_back"))
 
 
 # A41, M57

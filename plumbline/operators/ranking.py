@@ -114,8 +114,8 @@ def groups_with_examples(df: DataFrame, keys: Sequence[str], name: str, confiden
     order = Window.partitionBy(*keys).orderBy(F.coalesce(-F.col(confidence), F.lit(-1.0)), F.col(name))
     examples = df.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= n).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", F.col(name).alias("x")))), lambda s: s["x"]).alias("examples"))
     sizes = df.groupBy(*keys).agg(F.count("*").alias("size"))
-    total = df.agg(F.count("*").alias("__all"))
-    return sizes.join(examples, list(keys)).crossJoin(F.broadcast(total)).select(*keys, "size", (F.col("size") / F.col("__all")).alias("share"), "examples")  # one row
+    total = max(1, df.count())
+    return sizes.join(examples, list(keys)).select(*keys, "size", (F.col("size") / float(total)).alias("share"), "examples")
 
 
 # W18
