@@ -4,20 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f: Callable) -> Callable:
-        if name in QUERIES:
-            raise ValueError(f"two queries are named {name}")
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return register
+from plumbline.plans import q_aggregates, q_ranking  # noqa: F401  (they register)
+from plumbline.plans.registry import ORACLES, QUERIES
 
 
 def queries() -> dict[str, Callable]:
