@@ -17,6 +17,7 @@ Without labelled documents no topic can be mapped and no area is assigned.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections import Counter
@@ -38,7 +39,7 @@ BACKGROUNDS = (*LANGUAGES, "")
 TOP_TERMS, LEAST_SHARE, LEAST_SCORE = 60, 0.3, 1.2
 SHARE = 0.25
 
-_HEADING = re.compile(r"^\W*[^\W\d_]+\W+\d+\W*$")
+_HEADING = re.compile(r"^\W*[^\W\d_㐀-鿿]+\W+\d+\W*$")
 _PREFIX = re.compile(r"^\s*(?:\[\s*\d[\d:.,\s]*\]\s*[^\W\d_]{3,9}\b|[-*•–]\s+|\d+[.)]\s+)\s*")
 _CODE = re.compile(r"[A-Za-z0-9._#/%\-\[\]]*[0-9_][A-Za-z0-9._#/%\-\[\]]*")
 _END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
@@ -46,10 +47,21 @@ _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]+")
 
 
+def _unwrapped(text: str) -> str:
+    """The prose of a text that is a JSON object: its string values of several words."""
+    try:
+        values = json.loads(text).values()
+    except (ValueError, AttributeError):
+        return text
+    return "\n".join(v for v in values if isinstance(v, str) and len(v.split()) > 1) or text
+
+
 def sentences(text: str | None) -> list[str]:
     """The sentences of a text: lower case, compatibility forms resolved, invisible characters, prefixes and codes gone."""
     if not text:
         return []
+    if text.lstrip().startswith("{"):
+        text = _unwrapped(text)
     text = "".join(c for c in unicodedata.normalize("NFKC", text) if c in "\n\t\r" or unicodedata.category(c) != "Cf").lower()
     found = []
     for line in text.splitlines():
