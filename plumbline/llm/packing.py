@@ -85,6 +85,7 @@ def pack(items: DataFrame, capacity: int = 1024, window_containers: int = WINDOW
     """id, piece, container_id, start, tokens. items: id (bigint), source (string), size (bigint)."""
     source = F.lower(strip("source"))
     items = items.select("id", F.coalesce(F.when(source != "", source), F.lit("unknown")).alias("source"), F.coalesce("size", F.lit(0)).alias("size"))
+    items = materialize(items, "sizes")  # three passes follow, and sizes may be costly to compute
     windows = assign_windows(items.filter("size > 0"), capacity, window_containers, shares)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
