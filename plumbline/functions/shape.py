@@ -156,7 +156,8 @@ def _pose_similarity(p: np.ndarray | None, q: np.ndarray | None) -> float | None
     return float(np.clip((0.72 * np.exp(-4 * gap) + 0.28 * (cos or 0.0)) * (0.9 + 0.1 * seen.mean()), 0, 1))
 
 
-pose_similarity_udf = F.pandas_udf(pose_similarity, "double")
+def pose_similarity_of(a: Column, b: Column) -> Column:
+    return F.pandas_udf(pose_similarity, "double")(a, b)
 
 
 # F34
@@ -188,7 +189,8 @@ def _signature(z: np.ndarray) -> list[float] | None:
     return [float(p) for p in parts]
 
 
-topology_signature_udf = F.pandas_udf(topology_signature, "array<double>")
+def topology_signature_of(points: Column) -> Column:
+    return F.pandas_udf(topology_signature, "array<double>")(points)
 
 
 # M20

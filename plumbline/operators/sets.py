@@ -39,6 +39,9 @@ def first_wins(*maps: ColumnLike) -> Column:
     """The union of maps; of a key in several the value of the first that has it."""
     out = F.coalesce(col(maps[0]), F.create_map().cast("map<string,double>"))
     for m in maps[1:]:
-        have, more = out, F.coalesce(col(m), F.create_map().cast("map<string,double>"))
-        out = F.map_concat(have, F.map_filter(more, lambda k, _, have=have: ~F.map_contains_key(have, k)))
+        out = _added(out, F.coalesce(col(m), F.create_map().cast("map<string,double>")))
     return out
+
+
+def _added(have: Column, more: Column) -> Column:
+    return F.map_concat(have, F.map_filter(more, lambda k, _: ~F.map_contains_key(have, k)))
