@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from plumbline.session import spread
+
 #: How the vocabulary's makers split text before merging (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -161,7 +163,8 @@ def _offsets(lists: list[list[int]]) -> pa.Array:
 
 
 def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """key and ids (array of int) of every row; null and empty texts give an empty list. Narrow: no shuffle."""
+    """key and ids (array of int) of every row; null and empty texts give an empty list. No shuffle, unless the files
+    give fewer tasks than there are cores."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +177,11 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", voc
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(df.select(key, text), key).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def count_tokens(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, name: str = "n_tokens") -> DataFrame:
-    """The kept columns and the number of tokens of each text (0 for null and empty ones). Narrow: no shuffle."""
+    """The kept columns and the number of tokens of each text (0 for null and empty ones)."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +193,4 @@ def count_tokens(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], sizes], names=[*keep, name])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(text, *keep).mapInArrow(run, f"{kinds}, `{name}` bigint")
+    return spread(df.select(text, *keep), keep[0]).mapInArrow(run, f"{kinds}, `{name}` bigint")
