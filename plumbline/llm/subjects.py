@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import materialize
+from plumbline.session import materialize, spread
 
 #: Parameters of the model. MAX_TERMS bounds what is broadcast: MAX_TERMS x topics numbers.
 MAX_TERMS, MIN_DOCUMENTS, ROUNDS, INNER_ROUNDS = 24_000, 3, 5, 6
@@ -106,7 +106,7 @@ def _split(df: DataFrame) -> DataFrame:
                     found.append([t for ts in own for t in ts])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["id", "lang", "sizes", "terms"])
 
-    return df.select("id", "lang", "text").mapInArrow(run, "id bigint, lang string, sizes array<int>, terms array<string>")
+    return spread(df.select("id", "lang", "text"), "id").mapInArrow(run, "id bigint, lang string, sizes array<int>, terms array<string>")
 
 
 def vocabulary(split: DataFrame, max_terms: int = MAX_TERMS, min_documents: int = MIN_DOCUMENTS) -> list[str]:
