@@ -46,8 +46,8 @@ def cutoffs(rows: DataFrame, keys: list[str], score: str, targets: DataFrame, ta
     grid = "array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")"
     ranks = sketches.withColumn("__grid", F.expr(f"kll_sketch_get_quantile_double(sketch, {grid})"))
     quantile = 1.0 - F.least(F.greatest(F.col(permille), F.lit(0)), F.lit(1000)) / 1000.0
-    low = F.greatest(F.floor((quantile - margin) * GRID), F.lit(0)).cast("int") + 1
-    high = F.least(F.ceil((quantile + margin) * GRID), F.lit(GRID)).cast("int") + 1
+    held = lambda step: F.least(F.greatest(step, F.lit(0)), F.lit(GRID)).cast("int") + 1
+    low, high = held(F.floor((quantile - margin) * GRID)), held(F.ceil((quantile + margin) * GRID))
     brackets = ranks.select(*keys, "n", permille, F.element_at("__grid", low).alias("__low"), F.element_at("__grid", high).alias("__high"))
     first = materialize(_choose(rows, brackets, keys, permille), "cutoffs")
     missed = first.filter("cutoff is null").select(*keys, "n", permille, F.lit(float("-inf")).alias("__low"), F.lit(float("inf")).alias("__high"))

@@ -35,8 +35,9 @@ MAX_TERMS, MIN_DOCUMENTS, ROUNDS, INNER_ROUNDS = 24_000, 3, 5, 6
 PRIOR, LABEL_PRIOR, SMOOTH = 0.1, 4.0, 0.02
 LANGUAGES = ("en", "de", "es", "zh")
 BACKGROUNDS = (*LANGUAGES, "")
-#: How many top terms of a topic are inspected, the least advantage of its area, and of a sentence's.
-TOP_TERMS, LEAST_SHARE, LEAST_SCORE = 60, 0.3, 1.2
+#: How many top terms of a topic are inspected; how far beyond chance (0) towards certainty (1) its area must stand out;
+#: and what share of the greatest advantage of one term, the logarithm of the number of areas, a sentence needs.
+TOP_TERMS, LEAST_LEAD, LEAST_SCORE = 60, 0.22, 0.52
 SHARE = 0.25
 
 _HEADING = re.compile(r"^\W*[^\W\d_㐀-鿿]+\W+\d+\W*$")
@@ -296,12 +297,13 @@ def map_topics(terms_: list[str], topics: np.ndarray, labelled: np.ndarray, area
     share = rate / np.maximum(rate.sum(1, keepdims=True), 1e-12)
     probe = SubjectModel(terms_, topics, [None] * topics.shape[1], areas)
     number = {t: i for i, t in enumerate(terms_)}
+    chance = 1 / max(1, len(areas))
     found: list[str | None] = []
     for k in range(topics.shape[1]):
         top = [number[t] for t in probe.top_terms(k)]
         weight = topics[top, k] / topics[top, k].sum()
         held = weight @ share[top]
-        found.append(areas[int(held.argmax())] if held.size and held.max() >= LEAST_SHARE else None)
+        found.append(areas[int(held.argmax())] if held.size and (held.max() - chance) / max(1e-9, 1 - chance) >= LEAST_LEAD else None)
     return found
 
 
@@ -326,6 +328,7 @@ def sentence_areas(encoded: DataFrame, model: SubjectModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         advantage, areas = sent.value
+        enough = LEAST_SCORE * np.log(max(2, len(areas)))
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
@@ -341,7 +344,7 @@ def sentence_areas(encoded: DataFrame, model: SubjectModel) -> DataFrame:
                 if len(edges):
                     score[sentence[known][edges]] = np.add.reduceat(advantage[codes[known]], edges, axis=0)
                 best = score.argmax(1)
-                sure = score[np.arange(len(best)), best] >= LEAST_SCORE
+                sure = score[np.arange(len(best)), best] >= enough
                 pair, count = np.unique(document[sure] * len(areas) + best[sure], return_counts=True)
                 whole_count = np.bincount(document, minlength=batch.num_rows)
                 doc = pair // len(areas)
