@@ -80,7 +80,7 @@ def apply_chain(df: DataFrame, key: str, providers: Sequence[Provider]) -> DataF
                 out.loc[values.index[good], names] = values.loc[good, names].astype(object)
                 done[values.index[good]] = provider.name
                 for i in values.index[~good]:
-                    reasons[i] = reasons[i] + [why[i] or f"{provider.name}:NO_VALUE"]
+                    reasons[i] = reasons[i] + [why[i] if isinstance(why[i], str) else f"{provider.name}:NO_VALUE"]
             yield pd.concat([rows[[key]], out, done.rename("provider"), reasons.rename("reasons")], axis=1)
 
     kind = df.schema[key].dataType.simpleString()
