@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import ColumnLike, clamp, col, row_weighted_mean
+from plumbline.operators.joins import null_safe
+from plumbline.operators.running import exact_percentiles, running_totals
 
 STATUSES = ("PASS", "WARN", "FAIL")
 
@@ -106,16 +108,16 @@ def stability(value: ColumnLike, scale: float, single: float = 0.58) -> Column:
 
 # A16, W06
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str, least: float = 0.02) -> DataFrame:
-    """keys, centre (median), mad, scale = max(least, 1.4826 mad). Two aggregations, no window frame."""
-    centres = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias("centre"))
-    gaps = df.join(centres, list(keys)).filter(F.col(value).isNotNull())
-    mads = gaps.groupBy(*keys, "centre").agg(F.median(F.abs(F.col(value) - F.col("centre"))).alias("mad"))
-    return mads.withColumn("scale", F.greatest(F.lit(least), 1.4826 * F.col("mad")))
+    """keys, centre (median), mad, scale = max(least, 1.4826 mad). Two exact medians, no window over a whole group."""
+    centres = exact_percentiles(df, keys, value, [50]).select(*keys, F.col("value").alias("centre"))
+    gaps = null_safe(df.select(*keys, F.col(value).alias("__v")), centres, keys).withColumn("__gap", F.abs(F.col("__v") - F.col("centre")))
+    mads = exact_percentiles(gaps, [*keys, "centre"], "__gap", [50])
+    return mads.select(*keys, "centre", F.col("value").alias("mad"), F.greatest(F.lit(least), 1.4826 * F.col("value")).alias("scale"))
 
 
 def robust_outliers(df: DataFrame, keys: Sequence[str], value: str, limit: float = 3.2, least: float = 0.02) -> DataFrame:
     """Rows whose robust z, |x - median| / scale, reaches the limit, with z."""
-    scaled = df.join(robust_scale(df, keys, value, least), list(keys))
+    scaled = null_safe(df, robust_scale(df, keys, value, least), keys)
     return scaled.withColumn("z", F.abs(F.col(value) - F.col("centre")) / F.col("scale")).filter(F.col("z") >= limit)
 
 
@@ -156,13 +158,15 @@ def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: s
     Weights of equal values are added before the window, so a hot key shuffles its distinct values only.
     """
     fine = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(weight) > 0)).groupBy(*keys, F.col(value).alias("__v")).agg(F.sum(weight).alias("__w"))
-    order = Window.partitionBy(*keys).orderBy("__v")
-    run = fine.withColumn("__c", F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("__pc", F.lag("__c").over(order)).withColumn("__pv", F.lag("__v").over(order)).withColumn("__total", F.sum("__w").over(Window.partitionBy(*keys)))
+    run = running_totals(fine, keys, [F.col("__v")], {"__c": F.col("__w")}, {"__total": F.col("__w")})
     asked = run.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))).withColumn("__t", F.col("q") * F.col("__total"))
-    hit = asked.filter((F.col("__c") >= F.col("__t")) & (F.col("__pc").isNull() | (F.col("__pc") < F.col("__t"))))
-    between = F.col("__pv") + (F.col("__v") - F.col("__pv")) * (F.col("__t") - F.col("__pc")) / (F.col("__c") - F.col("__pc"))
-    return hit.select(*keys, "q", F.when(F.col("__pc").isNull(), F.col("__v")).otherwise(between).alias("value"))
+    # of the values below the target the last, of those that reach it the first: two bounded aggregates, no window
+    last = F.max(F.when(F.col("__c") < F.col("__t"), F.struct(F.col("__c").alias("c"), F.col("__v").alias("v"))))
+    first = F.min(F.when(F.col("__c") >= F.col("__t"), F.struct(F.col("__c").alias("c"), F.col("__v").alias("v"))))
+    ends = asked.groupBy(*keys, "q", "__t").agg(last.alias("a"), first.alias("b"))
+    between = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("__t") - F.col("a.c")) / (F.col("b.c") - F.col("a.c"))
+    # beyond the last cumulative weight, by rounding only, the last value holds
+    return ends.select(*keys, "q", F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull(), F.col("a.v")).otherwise(between).alias("value"))
 
 
 # A33

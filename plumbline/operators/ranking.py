@@ -8,33 +8,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import clamp
+from plumbline.operators.joins import null_safe
+from plumbline.operators.running import distributed_rank, running_totals
 
 
-def _down(keys: Sequence[str], score: str, tie: str, confidence: str | None = None):
+def _order(score: str, tie: str, confidence: str | None = None) -> list[Column]:
     order = [F.col(score).desc_nulls_last()]
     if confidence:
         order.append(F.coalesce(F.col(confidence), F.lit(0.0)).desc())  # a missing confidence sorts as 0
-    return Window.partitionBy(*keys).orderBy(*order, F.col(tie).asc_nulls_last())
+    return [*order, F.col(tie).asc_nulls_last()]
 
 
 # W01, W02
 def rank_within(df: DataFrame, keys: Sequence[str], score: str, tie: str, confidence: str | None = None, name: str = "rank") -> DataFrame:
-    """rank from 1: score downward with null last, then confidence downward, then the tie column upward."""
-    return df.withColumn(name, F.row_number().over(_down(keys, score, tie, confidence)))
+    """rank from 1: score downward with null last, then confidence downward, then the tie column upward.
+
+    Ranks over parts of the groups, so that a hot group is not sorted in one task.
+    """
+    return distributed_rank(df, keys, _order(score, tie, confidence), name)
 
 
 def first_n(df: DataFrame, keys: Sequence[str], score: str, tie: str, n: int) -> DataFrame:
-    """The first n of each group; the rank filter is pushed below the shuffle."""
-    return rank_within(df, keys, score, tie, name="__rank").filter(F.col("__rank") <= n).drop("__rank")
+    """The first n of each group; the rank filter lets every task keep n rows of a group before the shuffle."""
+    return _first(df, keys, _order(score, tie), n).drop("__rank")
+
+
+def _first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__rank") <= n)
+
+
+def _top_two(df: DataFrame, keys: Sequence[str], score: str, tie: str) -> DataFrame:
+    """keys, __top and __second: the scores of the first two rows of each group."""
+    two = _first(df.select(*keys, score, tie), keys, _order(score, tie), 2)
+    return two.groupBy(*keys).agg(F.max(F.when(F.col("__rank") == 1, F.col(score))).alias("__top"), F.max(F.when(F.col("__rank") == 2, F.col(score))).alias("__second"))
 
 
 # W03
 def with_gaps(df: DataFrame, keys: Sequence[str], score: str, tie: str) -> DataFrame:
     """rank, delta_top (own score less the first) and gap_top2 (first less second); null scores give null."""
-    order = _down(keys, score, tie)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    top, second = F.first(score).over(whole), F.nth_value(score, 2).over(whole)
-    return df.withColumn("rank", F.row_number().over(order)).withColumn("delta_top", F.col(score) - top).withColumn("gap_top2", top - second)
+    ranked = null_safe(rank_within(df, keys, score, tie), _top_two(df, keys, score, tie), keys)
+    return ranked.withColumn("delta_top", F.col(score) - F.col("__top")).withColumn("gap_top2", F.col("__top") - F.col("__second")).drop("__top", "__second")
 
 
 # W04
@@ -55,24 +68,22 @@ def quota_pass(df: DataFrame, keys: Sequence[str], score: str, tie: str, status:
     ceil(n * ratio) per group (all n in groups below small), and are WARN beyond it. No guard depends on how much of
     the quota is used, so a running count of the eligible rows says the same as the scan.
     """
-    order = _down(keys, score, tie, confidence)
     fails, guarded = F.coalesce(fail_guard, F.lit(False)), F.coalesce(pass_guard, F.lit(False))
-    rows = df.withColumn("__eligible", ~fails & (F.col(status) == "PASS") & ~guarded).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
+    eligible = F.coalesce(~fails & (F.col(status) == "PASS") & ~guarded, F.lit(False))
+    rows = running_totals(df.withColumn("__eligible", eligible), keys, _order(score, tie, confidence), {"__used": F.col("__eligible").cast("long")}, {"__n": F.lit(1).cast("long")})
     share = F.lit(float(ratio)) if isinstance(ratio, (int, float)) else ratio
     quota = F.when(F.col("__n") < small, F.col("__n")).otherwise(F.greatest(F.lit(1), F.ceil(F.col("__n") * share)))
-    used = F.sum(F.col("__eligible").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    final = F.when(fails, "FAIL").when(F.col("__eligible") & (F.col("__used") > F.col("__quota")), "WARN").when((F.col(status) == "PASS") & guarded, "WARN").otherwise(F.col(status))
-    return rows.withColumn("__quota", quota).withColumn("__used", used).withColumn("final_status", final).drop("__eligible", "__n", "__quota", "__used")
+    final = F.when(fails, "FAIL").when(F.col("__eligible") & (F.col("__used") > quota), "WARN").when((F.col(status) == "PASS") & guarded, "WARN").otherwise(F.col(status))
+    return rows.withColumn("final_status", final).drop("__eligible", "__n", "__used")
 
 
 # W08
 def rank_stability(df: DataFrame, keys: Sequence[str], score: str, tie: str, delta: float = 0.015, span: float = 0.03) -> DataFrame:
     """keys, gap, stability, band, cluster_count: how far the first is ahead, and how many are within delta of it."""
-    order = _down(keys, score, tie)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = df.select(*keys, F.col(score).alias("__s"), F.first(score).over(whole).alias("__top"), F.nth_value(score, 2).over(whole).alias("__second"))
-    out = rows.groupBy(*keys).agg(F.max(F.greatest(F.lit(0.0), F.col("__top") - F.col("__second"))).alias("gap"), F.max("__second").alias("__second"), F.count_if(F.col("__top") - F.col("__s") <= delta).alias("cluster_count"))
-    out = out.withColumn("gap", F.when(F.col("__second").isNotNull(), F.col("gap"))).withColumn("stability", clamp(F.col("gap") / span, 0.0, 1.0))
+    rows = null_safe(df.select(*keys, F.col(score).alias("__s")), _top_two(df, keys, score, tie), keys)
+    out = rows.groupBy(*keys, "__top", "__second").agg(F.count_if(F.col("__top") - F.col("__s") <= delta).alias("cluster_count"))
+    out = out.withColumn("gap", F.when(F.col("__second").isNotNull(), F.greatest(F.lit(0.0), F.col("__top") - F.col("__second"))))
+    out = out.withColumn("stability", clamp(F.col("gap") / span, 0.0, 1.0))
     band = F.when(F.col("stability").isNull(), "UNAVAILABLE").when(F.col("stability") >= 0.70, "STABLE").when(F.col("stability") >= 0.35, "CLOSE").otherwise("TIGHT")
     return out.select(*keys, "gap", "stability", band.alias("band"), "cluster_count")
 
@@ -131,6 +142,6 @@ def by_named_order(c: Column | str, names: Sequence[str]) -> Column:
 # M52
 def compare_top(df: DataFrame, keys: Sequence[str], score: str, tie: str, n: int = 3) -> DataFrame:
     """The first row of each group against the next ones up to rank n: keys, top, other, rank, delta."""
-    ranked = rank_within(df, keys, score, tie).filter(F.col("rank") <= n).select(*keys, F.col(tie).alias("item"), F.col(score).alias("s"), "rank")
+    ranked = _first(df, keys, _order(score, tie), n).select(*keys, F.col(tie).alias("item"), F.col(score).alias("s"), F.col("__rank").alias("rank"))
     top = ranked.filter("rank = 1").select(*keys, F.col("item").alias("top"), F.col("s").alias("__top"))
     return ranked.filter("rank > 1").join(top, list(keys)).select(*keys, "top", F.col("item").alias("other"), "rank", (F.col("s") - F.col("__top")).alias("delta"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import stable_id
 from plumbline.operators.aggregates import descriptor
+from plumbline.operators.running import exact_percentiles
 
 #: domain, repetitions, transform, family, strength, unit (fixed values of the preregistered protocol's shape)
 PLAN = "domain string, repeat_count int, transform_id string, family string, signed_strength double, unit string"
@@ -65,9 +66,9 @@ def cohort_summary(trials: DataFrame, source: str, family: str, residual: str, u
 def component_quantiles(df: DataFrame, keys: Sequence[str], name: str, value: str, percents: Sequence[float] = (5, 25, 50, 75, 95)) -> DataFrame:
     """keys, name, kind (signed or absolute) and the percentiles of a component's values."""
     both = df.select(*keys, F.col(name).alias("name"), F.explode(F.array(F.struct(F.lit("signed").alias("kind"), F.col(value).cast("double").alias("v")), F.struct(F.lit("absolute").alias("kind"), F.abs(F.col(value)).cast("double").alias("v")))).alias("__x"))
-    wanted = F.array(*[F.lit(p / 100.0) for p in percents])
-    got = both.groupBy(*keys, "name", "__x.kind").agg(F.count("__x.v").alias("n"), F.percentile("__x.v", wanted).alias("__q"))
-    return got.select(*keys, "name", "kind", "n", *[F.get("__q", F.lit(i)).alias(f"p{p:g}") for i, p in enumerate(percents)])
+    long = both.select(*keys, "name", F.col("__x.kind").alias("kind"), F.col("__x.v").alias("v"))
+    got = exact_percentiles(long, [*keys, "name", "kind"], "v", percents)
+    return got.groupBy(*keys, "name", "kind", "n").agg(*[F.max(F.when(F.col("pct") == float(p), F.col("value"))).alias(f"p{p:g}") for p in percents])
 
 
 # A29

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as sc
 from plumbline.operators import aggregates as ag
+from plumbline.operators.running import distributed_rank, exact_percentiles
 from plumbline.plans.base import CANDIDATES, DECISIONS, ITEMS, MANIFEST, ROUTES, candidates, decisions, items, manifest, rounded, routes, strip_sql
 from plumbline.plans.registry import query
 from plumbline.tables import strip, table
@@ -160,8 +161,10 @@ def descriptor(spark, d):
 
 @query("q_percentile_calibration", f"SELECT lane, count(score) AS n, round(CASE WHEN count(score) >= 8 THEN quantile_cont(score, 0.10) END, 6) AS p10, round(CASE WHEN count(score) >= 8 THEN quantile_cont(score, 0.15) END, 6) AS p15 FROM {CANDIDATES} GROUP BY lane")
 def percentile_calibration(spark, d):
-    """Interpolated percentiles with a least number of samples."""
-    return rounded(candidates(spark, d).groupBy("lane").agg(F.count("score").alias("n"), *ag.guarded_percentiles("score", [10, 15], 8)))
+    """Exact interpolated percentiles with a least number of samples."""
+    rows = candidates(spark, d).select("lane", "score")
+    exact = exact_percentiles(rows, ["lane"], "score", [10, 15]).filter("n >= 8").groupBy("lane").agg(*[F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"p{p}") for p in (10, 15)])
+    return rounded(rows.groupBy("lane").agg(F.count("score").alias("n")).join(exact, "lane", "left"))
 
 
 _WQ = "WITH v AS (SELECT l_returnflag, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY l_returnflag) AS total FROM v), p AS (SELECT *, lag(c) OVER (PARTITION BY l_returnflag ORDER BY v) AS pc, lag(v) OVER (PARTITION BY l_returnflag ORDER BY v) AS pv FROM r), q AS (SELECT p.*, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS q FROM p)"
@@ -233,7 +236,7 @@ def axis_summary(spark, d):
 def method_compare(spark, d):
     """A score against a truth proxy: correlation, separation, false blocks and bad passes."""
     rows = candidates(spark, d).select("lane", "status", "score", "image", sc.finite_or_null(F.col("summary.base_score")).alias("truth")).filter("score IS NOT NULL AND truth IS NOT NULL")
-    limits = rows.groupBy("lane").agg(F.percentile("truth", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select("lane", F.get("q", F.lit(0)).alias("weak"), F.get("q", F.lit(1)).alias("strong"))
+    limits = exact_percentiles(rows, ["lane"], "truth", [25, 75]).groupBy("lane").agg(F.max(F.when(F.col("pct") == 25, F.col("value"))).alias("weak"), F.max(F.when(F.col("pct") == 75, F.col("value"))).alias("strong"))
     both = rows.join(limits, "lane").withColumn("kept", F.coalesce(F.col("status") == "PASS", F.lit(False)))
     kept, strong, weak = F.col("kept"), F.col("truth") >= F.col("strong"), F.col("truth") <= F.col("weak")
     passed, blocked = F.avg(F.when(kept, F.col("truth"))), F.avg(F.when(~kept, F.col("truth")))
@@ -269,9 +272,6 @@ def registry_counts(spark, d):
 @query("q_quota_subset", f"WITH r AS (SELECT lane, summary.base_score AS truth, row_number() OVER (PARTITION BY lane ORDER BY score DESC NULLS LAST, image, run_id) AS rn, count(*) OVER (PARTITION BY lane) AS n FROM {CANDIDATES}) SELECT lane, count(*) AS chosen, round(avg(truth) FILTER (isfinite(truth)), 6) AS truth_mean FROM r WHERE rn <= ceil(n * 0.1) GROUP BY lane")
 def quota_subset(spark, d):
     """Measures of the first tenth of every lane."""
-    from pyspark.sql import Window
-
     rows = candidates(spark, d).select("lane", "score", "image", "run_id", sc.finite_or_null(F.col("summary.base_score")).alias("truth"))
-    order = Window.partitionBy("lane").orderBy(F.col("score").desc_nulls_last(), "image", "run_id")
-    ranked = rows.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("lane")))
+    ranked = distributed_rank(rows, ["lane"], [F.col("score").desc_nulls_last(), F.col("image"), F.col("run_id")], "rn").join(rows.groupBy("lane").agg(F.count("*").alias("n")), "lane")
     return rounded(ranked.filter(F.col("rn") <= F.ceil(F.col("n") * 0.1)).groupBy("lane").agg(F.count("*").alias("chosen"), F.avg("truth").alias("truth_mean")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as sc
 from plumbline.operators import ranking as rk
+from plumbline.operators.running import distributed_rank
 from plumbline.plans.base import CANDIDATES, ITEMS, ROUTES, candidates, items, rounded, routes
 from plumbline.plans.registry import query
 from plumbline.tables import table
@@ -139,10 +140,8 @@ def lane_groups(spark, d):
 @query("q_named_order", f"SELECT item_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE status WHEN 'FAIL' THEN 0 WHEN 'WARN' THEN 1 WHEN 'PASS' THEN 2 ELSE 3 END, scores.overall NULLS FIRST, item_id) AS place FROM {ITEMS}")
 def named_order(spark, d):
     """A sheet ordered by the named order of statuses, then the score."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("run_id").orderBy(rk.by_named_order("status", ["FAIL", "WARN", "PASS"]), F.col("scores.overall").asc_nulls_first(), "item_id")
-    return items(spark, d).select("item_id", F.row_number().over(order).cast("long").alias("place"))
+    order = [rk.by_named_order("status", ["FAIL", "WARN", "PASS"]), F.col("s").asc_nulls_first(), F.col("item_id")]
+    return distributed_rank(items(spark, d).select("run_id", "item_id", "status", F.col("scores.overall").alias("s")), ["run_id"], order, "place").select("item_id", "place")
 
 
 @query("q_compare_top", f"WITH r AS ({_RANKED}) SELECT b.run_id, b.lane, a.image AS top, b.image AS other, b.rank, round(b.score - a.score, 6) AS delta FROM r a JOIN r b ON a.run_id = b.run_id AND a.lane = b.lane WHERE a.rank = 1 AND b.rank BETWEEN 2 AND 3")
