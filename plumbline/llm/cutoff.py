@@ -12,9 +12,11 @@ source without a target has no cutoff; a target of 0 or less keeps nothing, one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import null_safe
+from plumbline.operators.running import running_totals
 from plumbline.session import materialize
 
 
@@ -27,13 +29,6 @@ def source_sketches(rows: DataFrame, keys: list[str], score: str, k: int = 400)
     return rows.groupBy(*keys).agg(F.count(score).alias("n"), F.expr(f"kll_sketch_agg_double(`{score}`, {k})").alias("sketch"))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left joined with right on keys where null equals null; right's keys are dropped."""
-    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    condition = [left[c].eqNullSafe(renamed[f"__r_{c}"]) for c in keys]
-    return left.join(renamed, condition, how).drop(*[f"__r_{c}" for c in keys])
-
-
 def cutoffs(rows: DataFrame, keys: list[str], score: str, targets: DataFrame, target_key: str, permille: str = "keep_permille", k: int = 400, margin: float = 0.02) -> DataFrame:
     """keys, n, permille, cutoff, kept, ties (rows at the cutoff) of every source that has a target.
 
@@ -57,13 +52,12 @@ def cutoffs(rows: DataFrame, keys: list[str], score: str, targets: DataFrame, ta
 
 def _choose(rows: DataFrame, brackets: DataFrame, keys: list[str], permille: str) -> DataFrame:
     """The counting pass. cutoff is null where the bracket turns out not to hold it."""
-    inside = _null_safe(rows, brackets, keys).filter(F.col("__score") >= F.col("__low"))
+    inside = null_safe(rows, brackets, keys).filter(F.col("__score") >= F.col("__low"))
     # all scores above the bracket share one bin, so that a source shuffles its bracket's distinct scores and one count
     above = F.lit(float("inf"))
     bin_ = F.when(F.col("__score") > F.col("__high"), above).otherwise(F.col("__score"))
     counts = inside.groupBy(*keys, "n", permille, bin_.alias("__bin")).agg(F.count("*").alias("__rows"))
-    down = Window.partitionBy(*keys).orderBy(F.col("__bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("__kept", F.sum("__rows").over(down))
+    counts = running_totals(counts, keys, [F.col("__bin").desc()], {"__kept": F.col("__rows")})
     enough = 1000 * F.col("__kept") >= F.least(F.col(permille), F.lit(1000)) * F.col("n")
     choice = F.max(F.when(enough, F.struct(F.col("__bin").alias("cutoff"), F.col("__kept").alias("kept"), F.col("__rows").alias("ties"))))
     best = counts.groupBy(*keys, "n", permille).agg(choice.alias("__best"))
@@ -74,4 +68,4 @@ def _choose(rows: DataFrame, brackets: DataFrame, keys: list[str], permille: str
 def kept_rows(rows: DataFrame, cuts: DataFrame, keys: list[str], score: str) -> DataFrame:
     """The rows at or above their source's cutoff, with all columns."""
     cut = cuts.select(*keys, F.col("cutoff").alias("__cutoff"))
-    return _null_safe(rows, cut, keys).filter(F.col(score).cast("double") >= F.col("__cutoff")).drop("__cutoff")
+    return null_safe(rows, cut, keys).filter(F.col(score).cast("double") >= F.col("__cutoff")).drop("__cutoff")

@@ -19,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.running import running_totals
+
 #: Values per buffer.
 K = 512
 SKETCH = "n bigint, err bigint, levels array<int>, buffers array<double>, loose array<double>"
@@ -232,8 +234,7 @@ def refine(rows: DataFrame, approximate: DataFrame, keys: list[str], value: str)
     met = rows.select(*keys, v.alias("__v")).join(keyed, same)
     met = met.filter(F.col("__v") <= F.col("high")).withColumn("__bin", F.when(F.col("__v") < F.col("low"), F.lit(float("-inf"))).otherwise(F.col("__v")))
     counts = met.groupBy(*keys, "n", "pct", "__bin").agg(F.count("*").alias("__c"))
-    up = Window.partitionBy(*keys, "pct").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__upto", F.sum("__c").over(up))
+    ranked = running_totals(counts, [*keys, "pct"], [F.col("__bin")], {"__upto": F.col("__c")})
     place = (F.col("n") - 1) * F.col("pct") / 100.0
     pick = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__bin")))
     exact = ranked.groupBy(*keys, "n", "pct").agg(pick(F.floor(place)).alias("__a"), pick(F.ceil(place)).alias("__b"))
