@@ -243,13 +243,13 @@ def method_compare(spark, d):
     return rounded(both.groupBy("lane").agg(F.count("*").alias("candidates"), ag.correlation("score", "truth").alias("score_truth"), passed.alias("pass_mean"), blocked.alias("blocked_mean"), (passed - blocked).alias("separation"), ag.share(F.count_if(strong & ~kept), F.count_if(strong)).alias("false_block"), ag.share(F.count_if(weak & kept), F.count_if(weak)).alias("bad_pass")))
 
 
-@query("q_provider_groups", f"SELECT provider_name, provider_version, {strip_sql('cache_state')} AS cache_state, count(*) AS n, round(avg(garment_coverage_ratio), 6) AS coverage, round(avg(visible_body_ratio), 6) AS visible, count(*) FILTER (ok) AS ok FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, image ORDER BY loaded_at DESC NULLS LAST, metric_id DESC) AS rn_ FROM parser_metrics) WHERE rn_ = 1) GROUP BY ALL")
+@query("q_provider_groups", f"SELECT provider_name, provider_version, {strip_sql('cache_state')} AS cache_state, count(*) AS n, round(avg(garment_coverage_ratio), 8) AS coverage, round(avg(visible_body_ratio), 8) AS visible, count(*) FILTER (ok) AS ok FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, image ORDER BY loaded_at DESC NULLS LAST, metric_id DESC) AS rn_ FROM parser_metrics) WHERE rn_ = 1) GROUP BY ALL")
 def provider_groups(spark, d):
     """Metrics by provider, version and cache state."""
     from plumbline.tables import current_rows
 
     rows = current_rows(table(spark, d, "parser_metrics"), "metric_id")
-    return rounded(rows.groupBy("provider_name", "provider_version", strip("cache_state").alias("cache_state")).agg(F.count("*").alias("n"), F.avg("garment_coverage_ratio").alias("coverage"), F.avg("visible_body_ratio").alias("visible"), F.count_if("ok").alias("ok")))
+    return rounded(rows.groupBy("provider_name", "provider_version", strip("cache_state").alias("cache_state")).agg(F.count("*").alias("n"), F.avg("garment_coverage_ratio").alias("coverage"), F.avg("visible_body_ratio").alias("visible"), F.count_if("ok").alias("ok")), 8)
 
 
 @query("q_heavy_metrics", "WITH m AS (SELECT metric, value, w FROM (SELECT unnest(['garment', 'neckline', 'visible']) AS metric, unnest([garment_coverage_ratio, neckline_depth_ratio, visible_body_ratio]) AS value, CASE WHEN isfinite(confidence) AND confidence BETWEEN 0 AND 1 THEN confidence END AS w FROM parser_metrics)) SELECT metric, round(sum(value * w) / nullif(sum(w) FILTER (value IS NOT NULL), 0), 6) AS mean, round(avg(CASE WHEN value IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS presence, count(*) AS n FROM m GROUP BY metric")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,6 @@ def search_aliases(text: Column | str, aliases: Sequence[str], depth: int = 5) -
     is an Arrow-batched function over JSON text."""
     wanted, most = tuple(a.lower() for a in aliases), depth
 
-    import json
-
-    import pandas as pd
-
     def walk(node, left):
         if left < 0:
             return None
@@ -133,7 +131,8 @@ def read_manifest_entries(spark: SparkSession, path: str) -> DataFrame:
     starts = [F.substring(F.ltrim(F.get_json_object("text", f"$.{k}")), 1, 1) for k in ("items", "images", "entries")]
     pairs_list = F.coalesce(*[F.when(s == "[", F.transform(li, lambda e: F.struct(F.lit(None).cast("string").alias("key"), e.alias("value")))) for s, li in zip(starts, lists)])
     pairs_map = F.coalesce(*[F.when(s == "{", F.map_entries(m)) for s, m in zip(starts, maps)])
-    root = F.map_entries(F.map_filter(F.from_json("text", f"map<string,{ENTRY}>"), lambda k, v: ~k.isin(*RESERVED) & v.isNotNull()))
+    named = F.map_filter(F.from_json("text", "map<string,string>"), lambda k, v: ~k.isin(*RESERVED) & v.startswith("{"))
+    root = F.map_entries(F.transform_values(named, lambda _, v: F.from_json(v, ENTRY)))
     rows = doc.select(F.posexplode(F.coalesce(pairs_list, pairs_map, root)).alias("ordinal", "e"))
     entry = rows.select("ordinal", "e.key", "e.value.*")
     image = first_text("image", "path", "file", "key")

@@ -37,7 +37,8 @@ def write_all(frames: dict[str, DataFrame], folder: str, form: str = "parquet")
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], files_per_value: int = 1) -> None:
     """A folder per value; a hot value is spread over files_per_value files by a salt."""
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value))
-    df.withColumn("__salt", salt).repartition(*by, "__salt").drop("__salt").write.mode("overwrite").partitionBy(*by).parquet(path)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    df.withColumn("__salt", salt).repartition(tasks, *by, "__salt").drop("__salt").write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 # K05
