@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,5 +77,26 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def package_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per session, wherever the driver was started from.
+
+    The zipped sources go to the shared folder and from there, by Spark's own file service, to the Python workers.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+    target = f"{scratch_path(spark, 'package')}/plumbline.zip"
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    sc._plumbline_shipped = True
