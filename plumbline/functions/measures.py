@@ -144,3 +144,34 @@ def first_that_holds(outcomes: Sequence[tuple[Column, str]], rest: str) -> Colum
     for condition, name in outcomes:
         out = (F.when if out is None else out.when)(F.coalesce(condition, F.lit(False)), F.lit(name))
     return F.lit(rest) if out is None else out.otherwise(F.lit(rest))
+
+
+# F24, M40
+def mask_ratio(mask: ColumnLike) -> Column:
+    """Share of set cells of a mask given as rows of 0 and 1; null for an empty one."""
+    cells = F.flatten(col(mask))
+    return F.when(F.size(cells) > 0, F.aggregate(cells, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.nullif(F.size(cells), F.lit(0)))
+
+
+def mirror_overlap(mask: ColumnLike) -> Column:
+    """Intersection over union of a mask and its mirror image; null where it is empty."""
+    both = F.flatten(F.transform(col(mask), lambda row: F.zip_with(row, F.reverse(row), lambda a, b: F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("u")))))
+    add = lambda name: F.aggregate(both, F.lit(0.0), lambda a, x: a + x[name].cast("double"))
+    return F.when(add("u") > 0, add("i") / F.nullif(add("u"), F.lit(0.0)))
+
+
+def row_widths(mask: ColumnLike) -> Column:
+    """Per row the distance from its first to its last set cell; null where fewer than two are set."""
+
+    def width(row: Column) -> Column:
+        first, last = F.array_position(row, 1), F.size(row) + 1 - F.array_position(F.reverse(row), 1)
+        return F.when((first > 0) & (last > first), (last - first + 1).cast("int"))
+
+    return F.transform(col(mask), width)
+
+
+# M19
+def sidecar_confidence(parts: Sequence[tuple[ColumnLike, float]], floor: float = 0.0) -> Column:
+    """The weighted confidence of the parts that are there, at least floor; null without any."""
+    mean = row_weighted_mean(parts, positive_only=True)
+    return F.when(mean.isNotNull(), F.greatest(F.lit(floor), mean))

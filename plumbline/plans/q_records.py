@@ -141,3 +141,49 @@ def preferred_method(spark, d):
     rows = candidates(spark, d).withColumn("b", finite_or_null(F.col("summary.base_score")))
     both = rows.groupBy("lane").agg(F.struct(F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread")).alias("v1"), F.struct(F.avg("b").alias("mean"), F.stddev_pop("b").alias("spread")).alias("v2"))
     return both.select("lane", rc.preferred("v1", "v2", [("mean", 0.6), ("spread", -0.4)]).alias("p")).select("lane", "p.*")
+
+
+@query("q_packets", f"WITH r AS (SELECT run_id, item_id, status, row_number() OVER (PARTITION BY run_id ORDER BY scores.overall DESC NULLS LAST, item_id) AS rn FROM {ITEMS}), c AS (SELECT run_id, count(*) AS size, count(*) FILTER (status = 'PASS') AS passed FROM {ITEMS} GROUP BY run_id) SELECT run_id, size, CASE WHEN passed > 0 THEN passed END AS passed, array_to_string(list(r.item_id ORDER BY rn), ',') AS items FROM c JOIN r USING (run_id) WHERE rn <= 3 GROUP BY ALL")
+def packets(spark, d):
+    """A document per run: size, counts by status, and the first three items."""
+    from plumbline.operators.documents import packets as build
+
+    found = build(items(spark, d), ["run_id"], [F.col("scores.overall").desc_nulls_last(), F.col("item_id")], ["item_id", "status"], 3, "status")
+    return found.select("run_id", "size", F.try_element_at("counts", F.lit("PASS")).alias("passed"), F.array_join(F.transform("items", lambda x: x["item_id"].cast("string")), ",").alias("items"))
+
+
+@query("q_replaced_reasons", f"SELECT candidate_id, len(list_filter(coalesce(reasons, []), lambda x: x IS NOT NULL AND NOT starts_with(x, 'RELIEF'))) + (CASE WHEN score IS NOT NULL THEN 1 ELSE 0 END) AS n FROM {CANDIDATES}")
+def replaced_reasons(spark, d):
+    """The reasons of one block replaced by a new one."""
+    from plumbline.operators.documents import replaced_reason
+
+    new = F.when(F.col("score").isNotNull(), F.lit("RELIEF_RECOMPUTED"))
+    return candidates(spark, d).select("candidate_id", F.size(replaced_reason("reasons", "RELIEF", new)).cast("long").alias("n"))
+
+
+@query("q_master_reference", f"WITH m AS (SELECT median(scores.face) AS face, median(scores.depth_3d) AS depth_3d FROM {ITEMS}) SELECT item_id, round(1 / (1 + abs(scores.face - m.face) / 0.1), 6) AS face, round(1 / (1 + abs(scores.depth_3d - m.depth_3d) / 0.1), 6) AS depth_3d FROM {ITEMS}, m")
+def master_reference(spark, d):
+    """Items against the medians of all."""
+    from plumbline.functions.scalars import reciprocal_similarity
+    from plumbline.operators.documents import master_reference as build
+
+    rows = items(spark, d).select("item_id", "scores.face", "scores.depth_3d")
+    middle = build(rows, ["face", "depth_3d"])
+    return rounded(rows.select("item_id", *[reciprocal_similarity(F.abs(F.col(f) - F.lit(middle[f])), 0.1).alias(f) for f in middle]))
+
+
+@query("q_masks", "WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INTEGER) AS c FROM embeddings), r AS (SELECT vec_id, [c[1:8], c[9:16], c[17:24], c[25:32]] AS rows_ FROM m), o AS (SELECT vec_id, list_transform(rows_, lambda w: list_sum(list_transform(list_zip(w, list_reverse(w)), lambda z: least(z[1], z[2])))) AS i, list_transform(rows_, lambda w: list_sum(list_transform(list_zip(w, list_reverse(w)), lambda z: greatest(z[1], z[2])))) AS u, list_sum(flatten(rows_)) / 32.0::DOUBLE AS ratio FROM r) SELECT vec_id, ratio, round(CASE WHEN list_sum(u) > 0 THEN list_sum(i) / list_sum(u)::DOUBLE END, 6) AS mirror FROM o")
+def masks(spark, d):
+    """ratio and mirror symmetry of masks, here the signs of the first 32 coordinates."""
+    signs = F.transform("embedding", lambda x: (x > 0).cast("int"))
+    rows = table(spark, d, "embeddings").withColumn("mask", F.array(*[F.slice(signs, 8 * i + 1, 8) for i in range(4)]))
+    return rounded(rows.select("vec_id", ms.mask_ratio("mask").alias("ratio"), ms.mirror_overlap("mask").alias("mirror")))
+
+
+@query("q_replay_plan", f"SELECT lane || '__' || v AS task, lane AS area, v AS variant, CASE WHEN n < 100 THEN 'HIGH' ELSE 'NORMAL' END AS priority FROM (SELECT lane, count(*) AS n, unnest(['baseline', 'softer', 'stricter']) AS v FROM {CANDIDATES} GROUP BY lane)")
+def replay_plan(spark, d):
+    """A task for every variant of every area."""
+    from plumbline.operators.documents import replay_plan as build
+
+    areas = candidates(spark, d).groupBy(F.col("lane").alias("area")).agg(F.count("*").alias("n"))
+    return build(areas, ["baseline", "softer", "stricter"], F.when(F.col("n") < 100, "HIGH").otherwise("NORMAL"))
