@@ -20,18 +20,18 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.session import materialize, spread
 
 #: Parameters of the model. MAX_TERMS bounds what is broadcast: MAX_TERMS x topics numbers.
-MAX_TERMS, MIN_DOCUMENTS, ROUNDS, INNER_ROUNDS = 24_000, 3, 5, 6
+MAX_TERMS, LEAST_COUNT, ROUNDS, INNER_ROUNDS = 24_000, 3, 5, 4
 PRIOR, LABEL_PRIOR, SMOOTH = 0.1, 4.0, 0.02
 LANGUAGES = ("en", "de", "es", "zh")
 BACKGROUNDS = (*LANGUAGES, "")
@@ -45,6 +45,7 @@ _PREFIX = re.compile(r"^\s*(?:\[\s*\d[\d:.,\s]*\]\s*[^\W\d_]{3,9}\b|[-*•–]\s
 _CODE = re.compile(r"[A-Za-z0-9._#/%\-\[\]]*[0-9_][A-Za-z0-9._#/%\-\[\]]*")
 _END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W\d_]+")
+_INVISIBLE = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Cf") + "]")
 _HAN = re.compile(r"[㐀-鿿]+")
 
 
@@ -63,7 +64,9 @@ def sentences(text: str | None) -> list[str]:
         return []
     if text.lstrip().startswith("{"):
         text = _unwrapped(text)
-    text = "".join(c for c in unicodedata.normalize("NFKC", text) if c in "\n\t\r" or unicodedata.category(c) != "Cf").lower()
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    text = text.lower()
     found = []
     for line in text.splitlines():
         if not line.strip() or line.lstrip().startswith("#") and _HEADING.match(line) or _HEADING.match(line):
@@ -110,26 +113,27 @@ def _split(df: DataFrame) -> DataFrame:
     return spread(df.select("id", "lang", "text"), "id").mapInArrow(run, "id bigint, lang string, sizes array<int>, terms array<string>")
 
 
-def vocabulary(split: DataFrame, max_terms: int = MAX_TERMS, min_documents: int = MIN_DOCUMENTS) -> list[str]:
-    """The terms of most documents, at most max_terms; counted over all documents."""
+def vocabulary(split: DataFrame, max_terms: int = MAX_TERMS, least: int = LEAST_COUNT) -> list[str]:
+    """The most frequent terms, at most max_terms; counted over all documents, by Arrow within the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            counts = pc.value_counts(pa.chunked_array(held, pa.string()))
+            return pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=["term", "n"])
 
         for batch in batches:
-            for own in batch.column(0).to_pylist():
-                counts.update(set(own))
-            if len(counts) > 500_000:
+            held.append(batch.column(0).flatten())
+            size += len(held[-1])
+            if size > 4_000_000:
                 yield out()
-                counts.clear()
-        if counts:
+                held, size = [], 0
+        if held:
             yield out()
 
     counts = split.select("terms").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return [r.term for r in counts.filter(F.col("n") >= min_documents).orderBy(F.col("n").desc(), "term").limit(max_terms).collect()]
+    return [r.term for r in counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "term").limit(max_terms).collect()]
 
 
 def _encode(split: DataFrame, terms_: list[str]) -> DataFrame:
@@ -137,12 +141,12 @@ def _encode(split: DataFrame, terms_: list[str]) -> DataFrame:
     sent = split.sparkSession.sparkContext.broadcast(terms_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {t: i for i, t in enumerate(sent.value)}
+        known = pa.array(sent.value, pa.string())
         for batch in batches:
             column = batch.column(3)
-            codes = np.fromiter((known.get(t, -1) for t in column.flatten().to_pylist()), np.int32)
+            codes = pc.fill_null(pc.index_in(column.flatten(), value_set=known), -1)
             offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(codes))], names=["id", "lang", "sizes", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), codes)], names=["id", "lang", "sizes", "codes"])
 
     return split.mapInArrow(run, "id bigint, lang string, sizes array<int>, codes array<int>")
 
