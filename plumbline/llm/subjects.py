@@ -8,8 +8,9 @@
    one background topic per language from its own term frequencies, and a labelled document's prior leans to its areas.
 3. Each topic's top terms are inspected: the areas whose labelled documents hold these terms most give the topic its
    area, or none where no area stands out.
-4. A sentence treats the area whose topics explain its terms best against the mean of all areas, if by enough. A
-   document's topic proportions are its shares of sentences; an area with at least a quarter of them is assigned.
+4. A sentence treats the area whose topics explain its terms best against the mean of all areas, if its three most
+   telling terms tell enough; a sentence of terms that all areas use treats none. A document's topic proportions are its
+   shares of sentences; an area with at least a quarter of them is assigned.
 
 Defined results: null, empty and blank texts, and texts without sentences, have no area. Copies get the same areas.
 Without labelled documents no topic can be mapped and no area is assigned.
@@ -32,12 +33,13 @@ from plumbline.session import materialize, spread
 
 #: Parameters of the model. MAX_TERMS bounds what is broadcast: MAX_TERMS x topics numbers.
 MAX_TERMS, LEAST_COUNT, ROUNDS, INNER_ROUNDS = 24_000, 3, 5, 4
-PRIOR, LABEL_PRIOR, SMOOTH = 0.1, 4.0, 0.02
+PRIOR, BACKGROUND_PRIOR, LABEL_PRIOR, SMOOTH = 0.1, 2.0, 4.0, 0.02
 LANGUAGES = ("en", "de", "es", "zh")
 BACKGROUNDS = (*LANGUAGES, "")
 #: How many top terms of a topic are inspected; how far beyond chance (0) towards certainty (1) its area must stand out;
-#: and what share of the greatest advantage of one term, the logarithm of the number of areas, a sentence needs.
-TOP_TERMS, LEAST_LEAD, LEAST_SCORE = 60, 0.22, 0.52
+#: and what share of the greatest advantage of one term, the logarithm of the number of areas, a sentence's TELLING best
+#: terms need on average. PSEUDO: occurrences that are taken to be spread evenly before a term's own are counted.
+TOP_TERMS, LEAST_LEAD, LEAST_SCORE, TELLING, PSEUDO = 60, 0.22, 0.5, 3, 4.0
 SHARE = 0.25
 
 _HEADING = re.compile(r"^\W*[^\W\d_㐀-鿿]+\W+\d+\W*$")
@@ -255,6 +257,7 @@ def _round(encoded: DataFrame, topics: np.ndarray, areas: int) -> np.ndarray:
                 pairs, counts = np.unique(owner.astype(np.int64) * size + code, return_counts=True)
                 owner, code, counts = pairs // size, pairs % size, counts.astype(np.float32)
                 prior = np.full((batch.num_rows, width), PRIOR, np.float32)
+                prior[:, first:] = BACKGROUND_PRIOR
                 for i, own in enumerate(batch.column("areas").to_pylist()):
                     if own:
                         prior[i, :first] = PRIOR / 20
@@ -272,16 +275,20 @@ def _round(encoded: DataFrame, topics: np.ndarray, areas: int) -> np.ndarray:
 class SubjectModel:
     """Terms, topics (terms x topics), the area of each topic, and the areas' log advantages per term."""
 
-    def __init__(self, terms_: list[str], topics: np.ndarray, area_of: list[str | None], areas: list[str]):
+    def __init__(self, terms_: list[str], topics: np.ndarray, counts: np.ndarray, area_of: list[str | None], areas: list[str]):
         self.terms, self.topics, self.area_of, self.areas = terms_, topics, area_of, areas
+        # expected occurrences by area, each topic counted as if it were as large as the mean topic of its language
         by_area = np.zeros((len(terms_), len(areas)))
-        for k, area in enumerate(area_of):
-            if area is not None:
-                by_area[:, areas.index(area)] += topics[:, k]
-        mapped = by_area.sum(0) > 0
-        mean = by_area[:, mapped].mean(1) if mapped.any() else np.ones(len(terms_))
-        self.advantage = np.full(by_area.shape, -20.0)
-        self.advantage[:, mapped] = np.log((by_area[:, mapped] + 1e-12) / (mean + 1e-12)[:, None])
+        for lang in range(len(LANGUAGES)):
+            own = [k for k in range(lang, len(areas) * len(LANGUAGES), len(LANGUAGES)) if area_of[k] is not None]
+            sizes = counts[:, own].sum(0)
+            for k, size in zip(own, sizes):
+                by_area[:, areas.index(area_of[k])] += counts[:, k] * (sizes.mean() / max(size, 1.0))
+        # occurrences that the background topics explain count against every area alike
+        unmapped = [k for k in range(counts.shape[1]) if k >= len(areas) * len(LANGUAGES) or area_of[k] is None]
+        even = PSEUDO / max(1, len(areas))
+        mean = (by_area.sum(1, keepdims=True) + counts[:, unmapped].sum(1, keepdims=True)) / max(1, len(areas))
+        self.advantage = np.log((by_area + even) / (mean + even))
 
     def top_terms(self, topic: int, n: int = TOP_TERMS) -> list[str]:
         """The terms that a topic holds most of beyond the background topics (of a background, beyond all topics)."""
@@ -299,7 +306,7 @@ def map_topics(terms_: list[str], topics: np.ndarray, labelled: np.ndarray, area
     rate = labelled / np.maximum(labelled.sum(0), 1.0)
     rate = rate.reshape(len(terms_), len(areas), len(LANGUAGES)).sum(2)
     share = rate / np.maximum(rate.sum(1, keepdims=True), 1e-12)
-    probe = SubjectModel(terms_, topics, [None] * topics.shape[1], areas)
+    probe = SubjectModel(terms_, topics, topics, [None] * topics.shape[1], areas)
     number = {t: i for i, t in enumerate(terms_)}
     chance = 1 / max(1, len(areas))
     found: list[str | None] = []
@@ -320,10 +327,11 @@ def fit_subjects(documents: DataFrame, areas: list[str], examples: DataFrame, ro
     encoded = materialize(_encode(split, words).join(labels, "id", "left"), "encoded")
     start = _start(encoded, len(words), len(areas))
     labelled = start[:, : len(areas) * len(LANGUAGES)]
-    topics = _topics(start) if len(words) else start
+    counts, topics = start, _topics(start) if len(words) else start
     for _ in range(rounds if len(words) else 0):
-        topics = _topics(_round(encoded, topics, len(areas)))
-    return SubjectModel(words, topics, map_topics(words, topics, labelled, areas), areas), encoded
+        counts = _round(encoded, topics, len(areas))
+        topics = _topics(counts)
+    return SubjectModel(words, topics, counts, map_topics(words, topics, labelled, areas), areas), encoded
 
 
 def sentence_areas(encoded: DataFrame, model: SubjectModel) -> DataFrame:
@@ -348,7 +356,11 @@ def sentence_areas(encoded: DataFrame, model: SubjectModel) -> DataFrame:
                 if len(edges):
                     score[sentence[known][edges]] = np.add.reduceat(advantage[codes[known]], edges, axis=0)
                 best = score.argmax(1)
-                sure = score[np.arange(len(best)), best] >= enough
+                told = advantage[codes[known], best[sentence[known]]]
+                order = np.lexsort((-told, sentence[known]))
+                place = np.arange(len(order)) - np.repeat(edges, np.diff([*edges, len(order)])) if len(edges) else order
+                top = order[place < TELLING]
+                sure = np.bincount(sentence[known][top], told[top], len(per_sentence)) / TELLING >= enough
                 pair, count = np.unique(document[sure] * len(areas) + best[sure], return_counts=True)
                 whole_count = np.bincount(document, minlength=batch.num_rows)
                 doc = pair // len(areas)
