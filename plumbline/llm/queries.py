@@ -73,7 +73,7 @@ def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = neighbours.exact_neighbours(vectors, vectors.filter("id % 50 = 0"), 10)
     near = neighbours.nearest_neighbours(vectors, 10)
     both = exact.join(near.select("id", "neighbour", F.lit(1).alias("hit")), ["id", "neighbour"], "left")
-    return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), (F.count("hit") / F.count("*")).alias("recall"))
+    return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), F.try_divide(F.count("hit"), F.count("*")).alias("recall"))
 
 
 @query()
@@ -102,7 +102,7 @@ def _term_store(spark: SparkSession, sf_dir: str) -> tuple[termcounts.TermCounts
     for origin, row_id in _TERMS.items():
         rows = table(spark, sf_dir, origin)
         last = rows.agg(F.max("loaded_at")).first()[0]
-        cut = F.lit(last) - F.expr("INTERVAL 30 DAYS")
+        cut = F.lit(last).cast(rows.schema["loaded_at"].dataType) - F.expr("INTERVAL 30 DAYS")  # null where nothing is loaded
         own = termcounts.deliveries_as_changes(rows, row_id, "reasons", cut).withColumn("origin", F.lit(origin))
         changes = own if changes is None else changes.unionByName(own)
     # the number of current rows is one more counter, kept under a term that no element can be
@@ -273,7 +273,7 @@ def p8_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of containers, tokens and the share of the containers' room that is used."""
     boxes = _packed(spark, sf_dir).filter("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("tokens").alias("tokens"))
-    return boxes.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (1024 * F.count("*"))).alias("fill"))
+    return boxes.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.try_divide(F.sum("tokens"), 1024 * F.count("*")).alias("fill"))
 
 
 # -- p9 ---------------------------------------------------------------------------------------------------------------

@@ -322,8 +322,8 @@ def fit_subjects(documents: DataFrame, areas: list[str], examples: DataFrame, ro
     """The model, and the encoded documents it was fitted on. documents: id, lang, text; examples: id, area."""
     split = materialize(_split(documents), "terms")
     words = vocabulary(split)
-    number = F.create_map(*[x for i, a in enumerate(areas) for x in (F.lit(a), F.lit(i))]) if areas else F.lit(None)
-    labels = examples.filter(F.col("area").isin(areas)).groupBy("id").agg(F.sort_array(F.collect_set(number[F.col("area")])).alias("areas"))
+    number = F.create_map(*[x for i, a in enumerate(areas) for x in (F.lit(a), F.lit(i))]).cast("map<string,int>")
+    labels = examples.filter(F.col("area").isin(areas)).groupBy("id").agg(F.sort_array(F.collect_set(F.try_element_at(number, F.col("area")))).alias("areas"))
     encoded = materialize(_encode(split, words).join(labels, "id", "left"), "encoded")
     start = _start(encoded, len(words), len(areas))
     labelled = start[:, : len(areas) * len(LANGUAGES)]
@@ -346,7 +346,7 @@ def sentence_areas(encoded: DataFrame, model: SubjectModel) -> DataFrame:
                 batch = whole.slice(start, 512)
                 sizes, codes = batch.column("sizes"), batch.column("codes").flatten().to_numpy(zero_copy_only=False)
                 per_sentence = sizes.flatten().to_numpy(zero_copy_only=False)
-                if not len(per_sentence):
+                if not len(per_sentence) or not areas:
                     continue
                 document = np.repeat(np.arange(batch.num_rows), np.diff(sizes.offsets.to_numpy()))
                 sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)

@@ -7,12 +7,15 @@ import datetime as dt
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, clusters, cutoff, neighbours, packing, percentiles, subjects, termcounts, topn
+from plumbline.llm import bpe, clusters, cutoff, neighbours, packing, percentiles, queries, subjects, termcounts, topn
 from plumbline.llm.signatures import unit_vectors
 from tests.conftest import rows_of
 
@@ -389,3 +392,33 @@ def test_subjects_without_documents_or_labels(spark):
     some = spark.createDataFrame([(i, "en", "the court is here. the court is there.") for i in range(5)], "id bigint, lang string, text string")
     model, encoded = subjects.fit_subjects(some, ["law"], none)
     assert subjects.assign_subjects(encoded, model).count() == 0
+
+
+# -- whole queries ----------------------------------------------------------------------------------------------------
+
+SOURCE = Path("/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module", params=["empty", "nulls"])
+def bare_tables(request, tmp_path_factory):
+    """The test tables without rows, and with null in every column but the row ids."""
+    if not SOURCE.is_dir():
+        pytest.skip("no test tables")
+    ids = {"view_routes": "route_id", "anchor_candidates": "candidate_id", "parser_metrics": "metric_id", "documents": "doc_id"}
+    folder = tmp_path_factory.mktemp(request.param)
+    for path in SOURCE.glob("*.parquet"):
+        rows = pq.read_table(path)
+        if request.param == "empty":
+            rows = rows.slice(0, 0)
+        elif path.stem in ids:
+            rows = rows.slice(0, 20)
+            rows = pa.table([rows.column(c) if c == ids[path.stem] else pa.nulls(20, rows.schema.field(c).type) for c in rows.column_names], schema=rows.schema)
+        pq.write_table(rows, folder / path.name)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries_over_bare_tables(spark, bare_tables, name):
+    rows = queries.queries()[name](spark, bare_tables).collect()
+    if name.endswith("_found"):
+        assert rows == []
