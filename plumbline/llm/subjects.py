@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from plumbline.session import materialize, spread
 
 #: Parameters of the model. MAX_TERMS bounds what is broadcast: MAX_TERMS x topics numbers.
-MAX_TERMS, LEAST_COUNT, ROUNDS, INNER_ROUNDS = 24_000, 3, 5, 4
+MAX_TERMS, LEAST_COUNT, ROUNDS, INNER_ROUNDS = 24_000, 3, 4, 4
 PRIOR, BACKGROUND_PRIOR, LABEL_PRIOR, SMOOTH = 0.1, 2.0, 4.0, 0.02
 LANGUAGES = ("en", "de", "es", "zh")
 BACKGROUNDS = (*LANGUAGES, "")
 #: How many top terms of a topic are inspected; how far beyond chance (0) towards certainty (1) its area must stand out;
 #: and what share of the greatest advantage of one term, the logarithm of the number of areas, a sentence's TELLING best
 #: terms need on average. PSEUDO: occurrences that are taken to be spread evenly before a term's own are counted.
-TOP_TERMS, LEAST_LEAD, LEAST_SCORE, TELLING, PSEUDO = 60, 0.22, 0.5, 3, 4.0
+TOP_TERMS, LEAST_LEAD, LEAST_SCORE, TELLING, PSEUDO = 60, 0.22, 0.6, 3, 4.0
 SHARE = 0.25
 
 _HEADING = re.compile(r"^\W*[^\W\d_㐀-鿿]+\W+\d+\W*$")
