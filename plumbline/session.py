@@ -47,8 +47,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for a table that several stages read."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, for a table that several stages read. clear_scratch removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._plumbline_scratch = [*getattr(sc, "_plumbline_scratch", []), path]
+    return path
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -59,7 +62,26 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._plumbline_path = path
+    return written
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete materialized tables that nothing will read again, such as those of a loop's earlier rounds."""
+    for df in frames:
+        path = getattr(df, "_plumbline_path", None)
+        if path:
+            delete_path(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this session's queries wrote to the shared folder. Their results must have been written or read."""
+    sc = spark.sparkContext
+    for path in getattr(sc, "_plumbline_scratch", []):
+        if "/package-" not in path:
+            delete_path(spark, path)
+    sc._plumbline_scratch = []
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
