@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.signatures import lists, matrix, sorted_runs
-from plumbline.session import materialize
+from plumbline.session import materialize, release
 
 #: Cell widths in reaches; the next one is used where a cell holds more than DENSE rows.
 WIDE = (16, 8, 4)
@@ -193,16 +193,17 @@ def propagate_minima(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     links = materialize(links.filter("id <> least").distinct(), "links")
     both = links.select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(links.select(F.col("least").alias("a"), F.col("id").alias("b")))
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("label")), "labels")
+    held = labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("label")), "labels")
     for _ in range(most_rounds):
         offered = both.join(labels, both.b == labels.id).select(F.col("a").alias("id"), "label").unionByName(labels)
         lower = offered.groupBy("id").agg(F.min("label").alias("label"))
         hop = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
         jumped = lower.join(hop, "label").select("id", F.least("label", "next").alias("label"))
         changed = jumped.join(labels.withColumnRenamed("label", "was"), "id")
-        labels = materialize(changed.select("id", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
-        done = not labels.filter("moved").limit(1).collect()
-        labels = labels.select("id", "label")
+        round_ = materialize(changed.select("id", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
+        release(held)
+        held, labels = round_, round_.select("id", "label")
+        done = not round_.filter("moved").limit(1).collect()
         if done:
             return labels
     raise RuntimeError(f"labels still move after {most_rounds} rounds")
