@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from plumbline.plans import q_aggregates, q_joins, q_ranking, q_records, q_repeat, q_rules, q_scalars  # noqa: F401  (they register)
+from plumbline.plans import q_aggregates, q_joins, q_ranking, q_records, q_repeat, q_rules, q_scalars, q_sources  # noqa: F401  (they register)
 from plumbline.plans.registry import ORACLES, QUERIES
 
 
