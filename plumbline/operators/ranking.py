@@ -142,6 +142,8 @@ def by_named_order(c: Column | str, names: Sequence[str]) -> Column:
 # M52
 def compare_top(df: DataFrame, keys: Sequence[str], score: str, tie: str, n: int = 3) -> DataFrame:
     """The first row of each group against the next ones up to rank n: keys, top, other, rank, delta."""
-    ranked = _first(df, keys, _order(score, tie), n).select(*keys, F.col(tie).alias("item"), F.col(score).alias("s"), F.col("__rank").alias("rank"))
-    top = ranked.filter("rank = 1").select(*keys, F.col("item").alias("top"), F.col("s").alias("__top"))
-    return ranked.filter("rank > 1").join(top, list(keys)).select(*keys, "top", F.col("item").alias("other"), "rank", (F.col("s") - F.col("__top")).alias("delta"))
+    ranked = _first(df, keys, _order(score, tie), n)
+    # at most n rows of a group are left, on the partitioning that the ranks came with
+    whole = Window.partitionBy(*keys).orderBy("__rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    both = ranked.withColumn("top", F.first(tie).over(whole)).withColumn("__top", F.first(score).over(whole)).filter(F.col("__rank") > 1)
+    return both.select(*keys, "top", F.col(tie).alias("other"), F.col("__rank").alias("rank"), (F.col(score) - F.col("__top")).alias("delta"))
