@@ -233,3 +233,35 @@ def cycle_check(spark, d):
 def ancestors(spark, d):
     """What every node derives from, with the least distance."""
     return graph.ancestors(_graph(spark, d)[1], 70)
+
+
+# The three above stand on a sample, as their SQL does; these are over all of lineitem, and every supplier and part is a node.
+_MORE = [("c58", "c41"), ("c41", "c58"), ("x1", "c3"), ("c3", "x2")]
+_ALL_EDGES = "(SELECT 'c' || l_suppkey AS source_id, 'c' || l_partkey AS target_id FROM lineitem UNION " + " UNION ".join(f"SELECT '{a}', '{b}'" for a, b in _MORE) + ")"
+_ALL_NODES = "(SELECT 'c' || s_suppkey AS node_id FROM supplier UNION SELECT 'c' || p_partkey FROM part)"
+
+
+def _whole_graph(spark, d):
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    edges = table(spark, d, "lineitem").select(name("l_suppkey").alias("source_id"), name("l_partkey").alias("target_id"))
+    more = spark.createDataFrame(_MORE, "source_id string, target_id string")
+    nodes = table(spark, d, "supplier").select(name("s_suppkey").alias("node_id")).unionByName(table(spark, d, "part").select(name("p_partkey").alias("node_id")))
+    return nodes.distinct(), edges.unionByName(more).distinct()
+
+
+@query("q_whole_dangling_edges", f"WITH e AS {_ALL_EDGES}, n AS {_ALL_NODES} SELECT DISTINCT CASE WHEN a.node_id IS NULL THEN 'SOURCE_MISSING' ELSE 'TARGET_MISSING' END AS issue, CASE WHEN a.node_id IS NULL THEN source_id ELSE target_id END AS node_id FROM e LEFT JOIN n a ON source_id = a.node_id LEFT JOIN n b ON target_id = b.node_id WHERE a.node_id IS NULL OR b.node_id IS NULL")
+def whole_dangling_edges(spark, d):
+    """Edges of the whole table to or from what is no node."""
+    return graph.dangling_edges(*_whole_graph(spark, d))
+
+
+@query("q_whole_cycle_check")
+def whole_cycle_check(spark, d):
+    """Nodes of the whole table on a cycle or behind one. Recursive SQL would list all pairs, so there is none."""
+    return graph.nodes_on_or_behind_cycles(*_whole_graph(spark, d))
+
+
+@query("q_whole_ancestors")
+def whole_ancestors(spark, d):
+    """What every node of the whole table derives from; up to suppliers times parts rows, by its meaning."""
+    return graph.ancestors(_whole_graph(spark, d)[1], 70)
