@@ -73,6 +73,17 @@ def against_references(spark, d):
     return rounded(joins.against_references(part, held, ["p_brand"], score).select("p_partkey", "reference", "score"))
 
 
+@query("q_whole_against_references", "WITH p AS (SELECT p_brand, min(p_partkey) AS reference, arg_min(p_retailprice, p_partkey) AS price FROM part GROUP BY p_brand) SELECT q.p_partkey, p.reference, round(exp(-abs(q.p_retailprice - p.price) / 100), 6) AS score FROM part q JOIN p ON q.p_brand = p.p_brand")
+def whole_against_references(spark, d):
+    """Every part against the reference of its brand, the brand's part of the smallest key."""
+    from plumbline.plans.base import rounded
+
+    part = table(spark, d, "part")
+    held = part.groupBy("p_brand").agg(F.min("p_partkey").alias("reference"), F.min_by("p_retailprice", "p_partkey").alias("price"))
+    score = sc.decay(F.abs(F.col("p_retailprice") - F.col("price")), 100)
+    return rounded(joins.against_references(part, held, ["p_brand"], score).select("p_partkey", "reference", "score"))
+
+
 @query("q_baseline_pairs", "WITH t AS (SELECT event_id, user_id, event_type, json_extract_string(props, '$.k')::INTEGER % 5 AS h FROM events), b AS (SELECT user_id, arg_min(h, event_id) AS h FROM t WHERE event_type = 'view' GROUP BY user_id) SELECT event_id, CASE WHEN b.user_id IS NULL THEN 'BASELINE_MISSING' WHEN t.h IS DISTINCT FROM b.h THEN 'CONTRACT_DIFFERS' ELSE '' END AS errors FROM t LEFT JOIN b USING (user_id)")
 def baseline_pairs(spark, d):
     """Trials with their baseline, and why a pair does not count."""

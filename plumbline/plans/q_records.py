@@ -115,6 +115,13 @@ def comparison_state(spark, d):
     return rc.comparison_state(runs, made, "run_id", "engine_version").select("run_id", "applied")
 
 
+@query("q_whole_comparison_state", "WITH c AS (SELECT run_id, max(collection_meta.layer_key) AS v FROM report_items GROUP BY 1) SELECT r.run_id, CASE WHEN c.v IS NOT NULL THEN c.v IS NOT DISTINCT FROM r.layer END AS applied FROM review_runs r LEFT JOIN c USING (run_id)")
+def whole_comparison_state(spark, d):
+    """Every run's layer against the one that its items were collected for."""
+    made = table(spark, d, "report_items").groupBy("run_id").agg(F.max("collection_meta.layer_key").alias("layer"))
+    return rc.comparison_state(table(spark, d, "review_runs").select("run_id", "layer"), made, "run_id", "layer").select("run_id", "applied")
+
+
 @query("q_auto_labels", f"SELECT m.entry_id, CASE WHEN coalesce(trim(m.anchor_source), '') = '' THEN i.status ELSE m.anchor_source END AS expected_status, CASE WHEN coalesce(trim(m.anchor_source), '') <> '' THEN 'hand' WHEN i.status IS NOT NULL THEN 'report' ELSE 'none' END AS label_source FROM {MANIFEST} m LEFT JOIN {ITEMS} i ON m.run_id = i.run_id AND m.image = i.image")
 def auto_labels(spark, d):
     """Blank labels filled from a report."""

@@ -47,3 +47,13 @@ def test_graphs_over_the_whole_table(spark, tmp_path):
     assert run("q_whole_cycle_check") == sorted(((n,) for n in nodes if n in cyclic or any((n, c) in within for c in cyclic)), key=repr)
     issues = {("SOURCE_MISSING", s) if s not in nodes else ("TARGET_MISSING", t) for s, t in edges if s not in nodes or t not in nodes}
     assert run("q_whole_dangling_edges") == sorted(issues, key=repr)
+
+
+def test_every_brand_has_a_reference_and_every_run_a_comparison(spark, tmp_path):
+    parts = [(k, f"b{k % 7}", 10.0 * k) for k in range(20, 60)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert rows_of(QUERIES["q_whole_against_references"](spark, str(tmp_path)).select("p_partkey", "reference")) == sorted(((k, min(j for j, b, _ in parts if b == brand)) for k, brand, _ in parts), key=repr)
+
+    spark.createDataFrame([("r1", "A"), ("r2", "A"), ("r30", "B"), ("r4", "B")], "run_id string, layer string").write.parquet(f"{tmp_path}/review_runs.parquet")
+    spark.createDataFrame([("r1", ("A",)), ("r2", ("B",)), ("r30", ("B",))], "run_id string, collection_meta struct<layer_key: string>").write.parquet(f"{tmp_path}/report_items.parquet")
+    assert rows_of(QUERIES["q_whole_comparison_state"](spark, str(tmp_path))) == [("r1", True), ("r2", False), ("r30", True), ("r4", None)]
