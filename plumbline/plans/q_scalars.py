@@ -212,8 +212,8 @@ def fuse(spark, d):
 
 @query("q_procrustes")
 def shapes(spark, d):
-    """Every embedding's first six points against those of its label's first embedding."""
-    rows = table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("points"))
+    """Every embedding's 32 points against those of its label's first embedding."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("points"))
     first = rows.groupBy("label").agg(F.min_by("points", "vec_id").alias("reference"))
     return rows.join(first, "label").select("vec_id", procrustes(F.col("reference"), F.col("points")).alias("p")).select("vec_id", "p.*")
 

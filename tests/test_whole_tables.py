@@ -57,3 +57,12 @@ def test_every_brand_has_a_reference_and_every_run_a_comparison(spark, tmp_path)
     spark.createDataFrame([("r1", "A"), ("r2", "A"), ("r30", "B"), ("r4", "B")], "run_id string, layer string").write.parquet(f"{tmp_path}/review_runs.parquet")
     spark.createDataFrame([("r1", ("A",)), ("r2", ("B",)), ("r30", ("B",))], "run_id string, collection_meta struct<layer_key: string>").write.parquet(f"{tmp_path}/report_items.parquet")
     assert rows_of(QUERIES["q_whole_comparison_state"](spark, str(tmp_path))) == [("r1", True), ("r2", False), ("r30", True), ("r4", None)]
+
+
+def test_shapes_are_fitted_over_all_coordinates(spark, tmp_path):
+    rng = random.Random(3)
+    first = [rng.gauss(0, 1) for _ in range(64)]
+    other = first[:12] + [rng.gauss(0, 1) for _ in range(52)]  # the first six points are the same
+    spark.createDataFrame([(1, 0, first), (2, 0, first), (3, 0, other)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    residual = {r.vec_id: r.residual for r in QUERIES["q_procrustes"](spark, str(tmp_path)).collect()}
+    assert residual[1] < 1e-6 and residual[2] < 1e-6 and residual[3] > 1e-2
