@@ -187,6 +187,17 @@ def masks(spark, d):
     return rounded(rows.select("vec_id", ms.mask_ratio("mask").alias("ratio"), ms.mirror_overlap("mask").alias("mirror")))
 
 
+_MASK_ROWS = ", ".join(f"c[{8 * i + 1}:{8 * i + 8}]" for i in range(8))
+
+
+@query("q_whole_masks", f"WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: (x > 0)::INTEGER) AS c FROM embeddings), r AS (SELECT vec_id, [{_MASK_ROWS}] AS rows_ FROM m), o AS (SELECT vec_id, list_transform(rows_, lambda w: list_sum(list_transform(list_zip(w, list_reverse(w)), lambda z: least(z[1], z[2])))) AS i, list_transform(rows_, lambda w: list_sum(list_transform(list_zip(w, list_reverse(w)), lambda z: greatest(z[1], z[2])))) AS u, list_sum(flatten(rows_)) / 64.0::DOUBLE AS ratio FROM r) SELECT vec_id, ratio, round(CASE WHEN list_sum(u) > 0 THEN list_sum(i) / list_sum(u)::DOUBLE END, 6) AS mirror FROM o")
+def whole_masks(spark, d):
+    """ratio and mirror symmetry of masks, the signs of all 64 coordinates as 8 rows of 8."""
+    signs = F.transform("embedding", lambda x: (x > 0).cast("int"))
+    rows = table(spark, d, "embeddings").withColumn("mask", F.array(*[F.slice(signs, 8 * i + 1, 8) for i in range(8)]))
+    return rounded(rows.select("vec_id", ms.mask_ratio("mask").alias("ratio"), ms.mirror_overlap("mask").alias("mirror")))
+
+
 @query("q_replay_plan", f"SELECT lane || '__' || v AS task, lane AS area, v AS variant, CASE WHEN n < 100 THEN 'HIGH' ELSE 'NORMAL' END AS priority FROM (SELECT lane, count(*) AS n, unnest(['baseline', 'softer', 'stricter']) AS v FROM {CANDIDATES} GROUP BY lane)")
 def replay_plan(spark, d):
     """A task for every variant of every area."""

@@ -66,3 +66,8 @@ def test_shapes_are_fitted_over_all_coordinates(spark, tmp_path):
     spark.createDataFrame([(1, 0, first), (2, 0, first), (3, 0, other)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     residual = {r.vec_id: r.residual for r in QUERIES["q_procrustes"](spark, str(tmp_path)).collect()}
     assert residual[1] < 1e-6 and residual[2] < 1e-6 and residual[3] > 1e-2
+
+
+def test_masks_are_made_of_all_coordinates(spark, tmp_path):
+    spark.createDataFrame([(1, [-1.0] * 32 + [1.0] * 32), (2, [-1.0] * 63 + [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert rows_of(QUERIES["q_whole_masks"](spark, str(tmp_path)).select("vec_id", "ratio", "mirror")) == [(1, 0.5, 1.0), (2, 0.015625, 0.0)]
