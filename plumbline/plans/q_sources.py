@@ -40,6 +40,18 @@ def manifest_file(spark, d):
     return readers.read_manifest_entries(spark, path).select("path_key", "prompt_id")
 
 
+@query("q_whole_manifest_file", "SELECT entry_id::VARCHAR AS key, lower(run_id || '/' || image) AS path_key, prompt_id, seed, try_cast(seed AS BIGINT) AS seed_number, seed_unavailable_reason, anchor_source, intended_view FROM input_manifest")
+def whole_manifest_file(spark, d):
+    """The whole manifest as documents of at most 1,000 entries, written and read by the tasks."""
+    fields = ["prompt_id", "seed", "seed_unavailable_reason", "anchor_source", "intended_view"]
+    entry = F.struct(F.concat(F.lit("./"), "run_id", F.lit("/"), F.upper("image")).alias("image"), *fields)
+    rows = table(spark, d, "input_manifest").select(F.floor(F.col("entry_id") / 1000).alias("part"), F.struct(F.col("entry_id").cast("string").alias("key"), entry.alias("value")).alias("e"))
+    documents = rows.groupBy("part").agg(F.map_from_entries(F.collect_list("e")).alias("items"))
+    path = scratch_path(spark, "manifests")
+    documents.select(F.to_json(F.struct(F.lit("1").alias("version"), "items"))).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_manifest_entries(spark, path).select("key", "path_key", "prompt_id", "seed", "seed_number", *fields[2:])
+
+
 @query("q_upsert_table", "SELECT run_id, engine_version, rn AS version FROM (SELECT run_id, CASE WHEN hash_even THEN 'new' ELSE engine_version END AS engine_version, CASE WHEN hash_even THEN 2 ELSE 1 END AS rn FROM (SELECT run_id, engine_version, length(run_id) % 2 = 0 OR run_id LIKE '%3' AS hash_even FROM review_runs))")
 def upsert_table(spark, d):
     """A keyed table after a load and a change, as its readers see it."""

@@ -71,3 +71,10 @@ def test_shapes_are_fitted_over_all_coordinates(spark, tmp_path):
 def test_masks_are_made_of_all_coordinates(spark, tmp_path):
     spark.createDataFrame([(1, [-1.0] * 32 + [1.0] * 32), (2, [-1.0] * 63 + [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert rows_of(QUERIES["q_whole_masks"](spark, str(tmp_path)).select("vec_id", "ratio", "mirror")) == [(1, 0.5, 1.0), (2, 0.015625, 0.0)]
+
+
+def test_the_whole_manifest_passes_the_readers(spark, tmp_path):
+    rows = [(1, "r1", "A.png", "p", "5", None, "", " Front"), (999, "r1", "A.png", None, "s-7", "lost", "set", None), (1000, "r2", "b.png", "q", "", None, None, "  "), (2500, "r3", "c.png", "p", None, None, "x", "front")]
+    spark.createDataFrame(rows, "entry_id long, run_id string, image string, prompt_id string, seed string, seed_unavailable_reason string, anchor_source string, intended_view string").write.parquet(f"{tmp_path}/input_manifest.parquet")
+    number = {"5": 5}
+    assert rows_of(QUERIES["q_whole_manifest_file"](spark, str(tmp_path))) == sorted(((str(i), f"{r}/{im.lower()}", p, s, number.get(s), why, a, v) for i, r, im, p, s, why, a, v in rows), key=repr)
