@@ -1,4 +1,4 @@
-"""Queries over whole tables, against brute force on small tables of every row's own kind."""
+"""Queries over whole tables, against brute force on small ones, and the segment trees alone."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import random
 from tests.conftest import rows_of
 
 import __spark_entry__
+from plumbline.llm import bpe
 
 QUERIES = __spark_entry__.queries()
 
@@ -78,3 +79,15 @@ def test_the_whole_manifest_passes_the_readers(spark, tmp_path):
     spark.createDataFrame(rows, "entry_id long, run_id string, image string, prompt_id string, seed string, seed_unavailable_reason string, anchor_source string, intended_view string").write.parquet(f"{tmp_path}/input_manifest.parquet")
     number = {"5": 5}
     assert rows_of(QUERIES["q_whole_manifest_file"](spark, str(tmp_path))) == sorted(((str(i), f"{r}/{im.lower()}", p, s, number.get(s), why, a, v) for i, r, im, p, s, why, a, v in rows), key=repr)
+
+
+def test_trees_alone_give_every_vocabulary_entry_its_id():
+    ranks, by_size = bpe.load_ranks(), {}
+    for word, number in ranks.whole.items():
+        token = word.encode("utf-8", "surrogateescape")
+        by_size.setdefault(max(2, 1 << (len(token) - 1).bit_length()), []).append((token, number))
+    for size, group in by_size.items():
+        step = max(1, bpe.STACK_CELLS // size)
+        for start in range(0, len(group), step):
+            part = group[start : start + step]
+            assert ranks.merge_stack([token for token, _ in part], size) == [[number] for _, number in part]
