@@ -93,6 +93,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def parts_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """The number of tasks for so many rows: one for every rows_per_task, but one for every core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
