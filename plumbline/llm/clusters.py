@@ -4,9 +4,10 @@ The features are quantised to a grid whose cells are WIDE times the reach, the d
 together. Every row is put into its cell, and also into the adjacent cell on the lower side of each border that it lies
 within reach of, so that two rows within reach always meet in the cell of their smaller coordinates: that is the join of
 adjacent cells, without naming the 3^d neighbours of a cell. Cells are counted; one with a single row is not dense and
-drops out, one with more rows than a task should hold is quantised again at half the width. In a dense cell the rows
-within reach are linked, each to the smallest id of its part, so a part of n rows yields n - 1 links, not all pairs.
-Minimum labels are then propagated over the links to convergence, with each round written to the shared folder.
+drops out, one with more rows than a task should hold is quantised again at half the width, and at the last width it is
+compared block by block (_links_in_blocks), so no cell is more than a task can hold. In a dense cell the rows within
+reach are linked, each to the smallest id of its part, so a part of n rows yields n - 1 links, not all pairs. Minimum
+labels are then propagated over the links to convergence, with each round written to the shared folder.
 
 The result equals single linkage at the reach, chains through other rows included; no row is sampled or capped.
 Exact copies are linked to their smallest id before anything else.
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.signatures import lists, matrix, sorted_runs
-from plumbline.session import materialize, release
+from plumbline.llm.signatures import lists, matrix, sorted_runs, together
+from plumbline.session import materialize, parts_for, release
 
 #: Cell widths in reaches; the next one is used where a cell holds more than DENSE rows.
 WIDE = (16, 8, 4)
 DENSE = 20_000
+#: Rows of a task that links cells.
+TASK_ROWS = 200_000
 LINKS = "id bigint, least bigint"
 
 
@@ -49,14 +52,20 @@ def place(vecs: np.ndarray, reach: float, width: float, start: np.ndarray | int
     cells = np.floor(vecs / width).astype(np.int64)
     near = vecs - cells * width <= reach
     keys, rows = [mixed(cells, start)], [np.arange(len(vecs))]
-    borders = near.sum(1)
-    for row in np.flatnonzero(borders):
-        dims = np.flatnonzero(near[row])
-        moves = np.array(list(itertools.product((0, 1), repeat=len(dims)))[1:])
-        around = np.repeat(cells[row][None], len(moves), 0)
-        around[:, dims] -= moves
+    # rows near the same borders move alike
+    borders = near @ (1 << np.arange(vecs.shape[1]))
+    order = np.argsort(borders, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(borders[order]) > 0]) if len(order) else order
+    for own in np.split(order, starts[1:]):
+        dims = np.flatnonzero(near[own[0]]) if len(own) else own
+        if not len(dims):
+            continue
+        moves = np.zeros(((1 << len(dims)) - 1, vecs.shape[1]), np.int64)
+        moves[:, dims] = list(itertools.product((0, 1), repeat=len(dims)))[1:]
+        around = (cells[own][:, None] - moves[None]).reshape(-1, vecs.shape[1])
+        row = np.repeat(own, len(moves))
         keys.append(mixed(around, np.asarray(start)[row] if np.ndim(start) else start))
-        rows.append(np.full(len(moves), row))
+        rows.append(row)
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -121,8 +130,8 @@ def _touch(a: np.ndarray, b: np.ndarray, least: float, block: int = 2048) -> boo
     return False
 
 
-def _links_in_cells(placed: DataFrame, width: int, least: float) -> DataFrame:
-    """Links within the cells; placed: cell, id, vec."""
+def _links_in_cells(placed: DataFrame, width: int, least: float, rows: int) -> DataFrame:
+    """Links within the cells; placed: cell, id, vec, of about so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches):
@@ -132,15 +141,54 @@ def _links_in_cells(placed: DataFrame, width: int, least: float) -> DataFrame:
             sizes = np.diff(edges)
             found = []
             pairs = edges[:-1][sizes == 2]
-            together = np.einsum("ij,ij->i", vecs[pairs], vecs[pairs + 1]) >= least
-            first, second = ids[pairs[together]], ids[pairs[together] + 1]
+            near = np.einsum("ij,ij->i", vecs[pairs], vecs[pairs + 1]) >= least
+            first, second = ids[pairs[near]], ids[pairs[near] + 1]
             found.append((np.maximum(first, second), np.minimum(first, second)))
             for a, size in zip(edges[:-1][sizes > 2], sizes[sizes > 2]):
                 found.append(link(ids[a : a + size], vecs[a : a + size], least))
             who, label = (np.concatenate(c) for c in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(label)], names=["id", "least"])
 
-    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LINKS)
+    slim = placed.select("cell", "id", "vec")
+    return together(slim, "cell", parts_for(placed.sparkSession, rows, TASK_ROWS)).mapInArrow(run, LINKS)
+
+
+def _links_in_blocks(hot: DataFrame, width: int, least: float) -> DataFrame:
+    """Links within cells of any size; hot: cell, id, vec. No task holds more than about DENSE rows of a cell.
+
+    1. Rows in one box whose diagonal is no longer than the reach are linked to the box's smallest id, uncompared.
+    2. The smallest rows of a cell's boxes are compared with each other, in pairs of blocks.
+    3. What is then not in the largest part of its cell is compared with all rows of the cell, in pairs of blocks. Two
+       rows of the largest part need no comparison, however many there are.
+    """
+    side = float(np.sqrt((2 - 2 * least) / width)) * (1 - 1e-9)
+    half = max(1, DENSE // 2)
+    hot = materialize(hot.withColumn("box", F.transform("vec", lambda x: F.floor(x / side))), "hot-cells")
+    boxes = materialize(hot.groupBy("cell", "box").agg(F.min(F.struct("id", "vec")).alias("head"), F.count("*").alias("rows")), "boxes")
+    linked = hot.join(boxes, ["cell", "box"]).select("id", F.col("head.id").alias("least"))
+
+    blocks = lambda n: F.ceil(n / half).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.greatest(n, F.lit(1))).cast("int")
+    pair = lambda a, b: F.xxhash64("cell", F.least(a, b), F.greatest(a, b))
+    until = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    heads = boxes.join(boxes.groupBy("cell").agg(blocks(F.count("*")).alias("n")), "cell").select("cell", "head.id", "head.vec", "n").withColumn("b", block(F.col("n")))
+    met = heads.select("id", "vec", F.explode(F.transform(until(F.col("n")), lambda o: pair(F.col("b"), o))).alias("cell"))
+    met = materialize(met, "box-pairs")
+    parts = materialize(_links_in_cells(met, width, least, met.count()), "box-links")
+    labels = propagate_minima(parts).select(F.col("id").alias("head_id"), "label")
+    known = boxes.select("cell", "box", F.col("head.id").alias("head_id"), "rows").join(labels, "head_id", "left").withColumn("label", F.coalesce("label", "head_id"))
+    known = materialize(known, "box-parts")
+    sizes = known.groupBy("cell", "label").agg(F.sum("rows").alias("rows"))
+    main = sizes.groupBy("cell").agg(F.max(F.struct("rows", "label")).alias("main"), F.sum("rows").alias("all"))
+    main = main.select("cell", F.col("main.label").alias("main"), blocks(F.col("main.rows")).alias("mains"), blocks(F.col("all") - F.col("main.rows")).alias("others"))
+    told = hot.join(known.select("cell", "box", "label"), ["cell", "box"]).join(main.filter("others > 0"), "cell")
+    # the blocks of the largest part are numbered from 0, those of the other rows after them
+    mains, others, other = F.col("mains"), F.col("others"), F.col("label") != F.col("main")
+    told = told.withColumn("b", F.when(other, mains + block(others)).otherwise(block(mains)))
+    meets = F.when(other, until(mains + others)).otherwise(F.transform(until(others), lambda o: o + mains))
+    rest = materialize(told.select("id", "vec", F.explode(F.transform(meets, lambda o: pair(F.col("b"), o))).alias("cell")), "block-pairs")
+    return linked.unionByName(parts).unionByName(_links_in_cells(rest, width, least, rest.count())).filter("id <> least")
 
 
 def _place_rows(rows: DataFrame, width: int, reach: float, cell_width: float) -> DataFrame:
@@ -170,15 +218,18 @@ def similarity_links(vectors: DataFrame, least: float) -> DataFrame:
     for turn, wide in enumerate(WIDE):
         placed = materialize(_place_rows(rows, head.width, reach, wide * reach), "placed")
         counts = placed.groupBy("cell").agg(F.count("*").alias("rows"))
-        dense = counts.filter(F.col("rows") > 1)
-        last = turn == len(WIDE) - 1
-        hot = [] if last else counts.filter(F.col("rows") > DENSE).limit(1).collect()
-        here = placed.join((dense.filter(F.col("rows") <= DENSE) if hot else dense).select("cell"), "cell")
-        found = _links_in_cells(here, head.width, least)
-        links = found if links is None else links.unionByName(found)
-        if not hot:
+        found = counts.agg(F.max("rows").alias("most"), F.sum("rows").alias("rows")).first()
+        hot = None
+        if found.most > DENSE:
+            cells = materialize(counts.filter(F.col("rows") > DENSE).select("cell"), "hot-cells")
+            hot, placed = placed.join(cells, "cell"), placed.join(cells, "cell", "left_anti")
+        here = _links_in_cells(placed, head.width, least, found.rows)
+        links = here if links is None else links.unionByName(here)
+        if hot is None:
             break
-        rows = placed.join(counts.filter(F.col("rows") > DENSE).select("cell"), "cell").select("id", "vec", "cell")
+        rows = hot.select("id", "vec", "cell")
+    else:
+        links = links.unionByName(_links_in_blocks(rows, head.width, least))
     if head.n > 1:
         groups = copies.filter("n > 1").select("vec", F.col("id").alias("least"))
         links = links.unionByName(vectors.join(groups, "vec").filter("id <> least").select("id", "least"))

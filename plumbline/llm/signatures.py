@@ -48,6 +48,15 @@ def lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
+def together(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """df in parts tasks, each value of the key whole in one of them and the tasks sorted by it.
+
+    A shuffle on the key itself is left out where the plan already has one, as after a join on it, and adaptive execution
+    may read that one locally, so that a value's rows lie in several tasks. One on a hash of the key always stays.
+    """
+    return df.repartition(parts, F.xxhash64(key)).sortWithinPartitions(key)
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
     """Tables of whole runs of an integer key from batches sorted by it; a table may hold many small runs."""
     held: list[pa.RecordBatch] = []

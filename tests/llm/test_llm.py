@@ -94,7 +94,7 @@ def brute_groups(ids, vecs, least):
     return label
 
 
-@pytest.mark.parametrize("dense", [20_000, 30])
+@pytest.mark.parametrize("dense", [20_000, 30, 4])
 def test_clusters_equal_single_linkage(spark, monkeypatch, dense):
     monkeypatch.setattr(clusters, "DENSE", dense)
     rng = np.random.default_rng(5)
@@ -112,6 +112,55 @@ def test_clusters_equal_single_linkage(spark, monkeypatch, dense):
     assert any(n >= 40 for n in sizes.values())
 
 
+def brute_links(vecs, least, block=2000):
+    """The smallest row of every row's group, by comparing all rows."""
+    label = np.arange(len(vecs))
+    pairs = np.concatenate([np.argwhere(vecs[i : i + block] @ vecs.T >= least) + [i, 0] for i in range(0, len(vecs), block)])
+    while True:
+        low = label.copy()
+        np.minimum.at(low, pairs[:, 0], label[pairs[:, 1]])
+        if (low == label).all():
+            return label
+        label = low
+
+
+def test_clusters_lose_no_link_where_adaptive_execution_chooses_the_joins(spark):
+    """Ten copies of 33,000 vectors, each turned by its own matrix: as many members in each as in one by itself."""
+    rng = np.random.default_rng(17)
+    blobs = [c + rng.normal(scale=0.0025, size=(n, 11)) for c, n in zip(unit(rng.normal(size=(220, 11))), rng.integers(5, 24, 220))]
+    base = unit(np.concatenate([*blobs, rng.normal(size=(33_000 - sum(map(len, blobs)), 11))]))
+    label = brute_links(base, 0.9999)
+    sizes = np.bincount(label, minlength=len(base))
+    member = sizes[label] >= 8
+    turned = np.concatenate([base @ np.linalg.qr(rng.normal(size=(11, 11)))[0] for _ in range(10)])
+    offsets = pa.array(np.arange(len(turned) + 1, dtype=np.int32) * 11)
+    frame_ = spark.createDataFrame(pa.table({"id": np.arange(len(turned)), "vec": pa.ListArray.from_arrays(offsets, turned.ravel())}))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = {(r.cluster_id, r.id) for r in clusters.cluster_members(frame_, 0.9999, 8).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert member.sum() > 1000
+    assert got == {(len(base) * t + label[i], len(base) * t + i) for t in range(10) for i in np.flatnonzero(member)}
+
+
+def test_a_cell_of_any_size_is_compared_in_blocks(spark, monkeypatch):
+    """One dense blob, a second one beyond reach, a chain out of the first, and lone rows, all in one cell."""
+    monkeypatch.setattr(clusters, "DENSE", 60)
+    rng = np.random.default_rng(23)
+    blob = np.array([1.0, 0, 0, 0]) + rng.normal(scale=0.001, size=(400, 4))
+    other = np.array([1.0, 0.03, 0, 0]) + rng.normal(scale=0.0005, size=(50, 4))
+    chain = np.array([[1.0, 0, 0.012 * i, 0] for i in range(1, 4)])
+    vecs = unit(np.concatenate([blob, other, chain, [[1.0, 0, 0, 0.03], [1.0, 0, -0.03, 0.03]]]))
+    ids = np.arange(1, len(vecs) + 1)
+    rng.shuffle(ids)
+    hot = spark.createDataFrame([(7, int(i), [float(x) for x in v]) for i, v in zip(ids, vecs)], "cell bigint, id bigint, vec array<double>")
+    links = clusters._links_in_blocks(hot, 4, 0.9999)
+    got = {r.id: r.label for r in clusters.propagate_minima(links).collect()}
+    want = brute_groups(ids.tolist(), vecs, 0.9999)
+    assert {i: got.get(i, i) for i in ids.tolist()} == want and len(set(want.values())) == 4
+
+
 def test_dense_cells_are_linked_by_balls():
     rng = np.random.default_rng(7)
     vecs = unit(np.concatenate([[1, 0, 0] + rng.normal(scale=0.01, size=(1200, 3)), [0, 1, 0] + rng.normal(scale=0.002, size=(500, 3))]))
