@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, clusters, cutoff, neighbours, packing, percentiles, subjects, termcounts, topn
 from plumbline.llm.signatures import unit_vectors
 from plumbline.session import materialize
-from plumbline.tables import current_rows, lane, status, table, usable
+from plumbline.tables import current_rows, lane, status, strip, table, usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,15 +278,17 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- p9 ---------------------------------------------------------------------------------------------------------------
 
-#: Spellings of the languages (fixed values); others read as no language.
-_LANGUAGES = {"en": "en", "en-gb": "en", "eng": "en", "de": "de", "ger": "de", "deu": "de", "es": "es", "spa": "es", "zh": "zh", "zh-cn": "zh", "chi": "zh"}
+#: Spellings of languages (fixed values). Others stand for themselves, up to the first hyphen or underscore.
+_LANGUAGES = {"eng": "en", "ger": "de", "deu": "de", "spa": "es", "chi": "zh", "zho": "zh"}
 
 
-def _subjects(spark: SparkSession, sf_dir: str):
+def _subjects(spark: SparkSession, sf_dir: str, examples: DataFrame | None = None):
     spelled = F.create_map(*[F.lit(x) for pair in _LANGUAGES.items() for x in pair])
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.try_element_at(spelled, F.lower(F.trim("lang"))).alias("lang"), "text")
+    tag = F.nullif(F.regexp_extract(F.lower(strip("lang")), "^[^-_]*", 0), F.lit(""))
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.try_element_at(spelled, tag), tag).alias("lang"), "text")
     areas = [r.area for r in table(spark, sf_dir, "subject_areas").orderBy("area").collect()]  # a fixed, small table
-    return subjects.fit_subjects(documents, areas, table(spark, sf_dir, "subject_examples").withColumnRenamed("doc_id", "id"))
+    labels = table(spark, sf_dir, "subject_examples") if examples is None else examples
+    return subjects.fit_subjects(documents, areas, labels.withColumnRenamed("doc_id", "id"))
 
 
 @query()
@@ -310,3 +312,19 @@ def p9_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = _subjects(spark, sf_dir)
     rows = [(k, model.area_of[k], model.top_terms(k, 20)) for k in range(model.topics.shape[1])]
     return spark.createDataFrame(rows, "topic int, area string, top_terms array<string>")
+
+
+@query()
+def p9_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the labels of one half of the labelled documents come out where the model is given those of the other half.
+
+    One row per area: its labels in the hidden half, how many of them are assigned, and how many documents of that half
+    are assigned the area.
+    """
+    examples = table(spark, sf_dir, "subject_examples")
+    hidden = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == 1
+    model, encoded = _subjects(spark, sf_dir, examples.filter(~hidden))
+    labels = examples.filter(hidden).distinct()
+    assigned = subjects.assign_subjects(encoded, model).select(F.col("id").alias("doc_id"), "area", F.lit(1).alias("assigned")).join(labels.select("doc_id").distinct(), "doc_id")
+    both = labels.withColumn("labelled", F.lit(1)).join(assigned, ["doc_id", "area"], "full")
+    return both.groupBy("area").agg(F.count("labelled").alias("labels"), F.count_if(F.col("labelled").isNotNull() & F.col("assigned").isNotNull()).alias("found"), F.count("assigned").alias("assigned"))

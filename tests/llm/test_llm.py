@@ -430,7 +430,10 @@ def test_subjects_of_held_out_documents(spark):
     held_out = [i for i in truth if i >= 150]
     assert sum(got.get(i) == truth[i] for i in held_out) / len(held_out) >= 0.97
     assert not {900, 901, 902} & set(got)
-    assert {a for a in model.area_of if a} == set(words) and "contract" in model.top_terms(4 * sorted(words).index("law"), 40)
+    assert {a for a in model.area_of if a} == set(words) and "contract" in model.top_terms(model.layout.topic(sorted(words).index("law"), "en"), 40)
+    assert model.layout.languages == ["en"]
+    whole = subjects.topic_proportions(encoded, model).groupBy("id").agg(F.sum("proportion").alias("p")).collect()
+    assert len(whole) == 600 and all(abs(r.p - 1) < 1e-9 for r in whole)
 
 
 def test_subjects_without_documents_or_labels(spark):
