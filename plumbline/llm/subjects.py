@@ -186,21 +186,24 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 
 class Layout:
-    """Which topic is where: those of an area by language, then the backgrounds of the languages and of no language."""
+    """Which topic is where: those of an area by language, then the backgrounds of the languages.
+
+    Documents of no language start no topic, but are inferred with all; where no document has one, all are of one.
+    """
 
     def __init__(self, areas: list[str], languages: list[str]):
-        self.areas, self.languages = areas, languages
-        self.first = len(areas) * len(languages)
-        self.width = self.first + len(languages) + 1
+        self.areas, self.languages = areas, languages or [None]
+        self.first = len(areas) * len(self.languages)
+        self.width = self.first + len(self.languages)
 
-    def topic(self, area: int, lang: str) -> int:
+    def topic(self, area: int, lang: str | None) -> int:
         return area * len(self.languages) + self.languages.index(lang)
 
     def of_area(self, area: int) -> slice:
         return slice(area * len(self.languages), (area + 1) * len(self.languages))
 
     def background(self, lang: str | None) -> int:
-        return self.first + (self.languages.index(lang) if lang in self.languages else len(self.languages))
+        return self.first + self.languages.index(lang)
 
 
 def _count(encoded: DataFrame, size: int, layout: Layout) -> np.ndarray:
@@ -211,7 +214,9 @@ def _count(encoded: DataFrame, size: int, layout: Layout) -> np.ndarray:
         for batch in _pieces(batches, 1024):
             weight = np.zeros((batch.num_rows, layout.width))
             for i, (lang, own) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("areas").to_pylist())):
-                for a in own or () if lang in layout.languages else ():
+                if lang not in layout.languages:
+                    continue
+                for a in own or ():
                     weight[i, layout.topic(a, lang)] = 1 / len(own)
                 weight[i, layout.background(lang)] = 1
             document, sentence, code = _known(batch)
@@ -266,8 +271,7 @@ def _start(counts: np.ndarray, layout: Layout) -> np.ndarray:
 
     An area's topic starts from what sets the area apart from the others of its language: what exceeds the mean rate of
     the term by the square root of the number of areas, half way, in logarithms, from a term that all areas use alike to
-    one that a single area uses. The language's background starts from its own counts without the terms set apart, and
-    so does that of no language.
+    one that a single area uses. The language's background starts from its own counts without the terms set apart.
     """
     start = counts.copy()
     for lang in layout.languages:
@@ -280,7 +284,7 @@ def _start(counts: np.ndarray, layout: Layout) -> np.ndarray:
             # 1 for a term of a single area, 0 for one that no area uses more than others; of few mentions less is known
             mentions = held.sum(1)
             told = start[:, own].sum(1) / np.maximum(mentions, 1e-12) / (1 - few) * np.maximum(0.0, 1 - 1 / np.sqrt(np.maximum(mentions, 1.0)))
-            start[:, [layout.background(lang), layout.background(None)]] *= np.maximum(0.0, 1 - told)[:, None]
+            start[:, layout.background(lang)] *= np.maximum(0.0, 1 - told)
     return start
 
 
