@@ -15,7 +15,7 @@ from plumbline.functions.scalars import base_name, first_text, path_key, stem, t
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp")
 LABELS_VERSION = "qa_benchmark_labels_v1"
 #: Keys of a manifest's root that name no entry (fixed values).
-RESERVED = ("schema_version", "version", "generated_at", "items", "images", "entries", "meta", "summary", "notes")
+RESERVED = ("schema_version", "version", "generator", "generator_name", "generator_version", "created_at", "generated_at", "items", "images", "entries", "meta", "summary", "notes")
 
 
 # S01, S02
@@ -51,33 +51,35 @@ def at_path(doc: Column | str, path: str, kind: str = "string") -> Column:
 
 # S19
 def search_aliases(text: Column | str, aliases: Sequence[str], depth: int = 5) -> Column:
-    """The first value, depth first, under one of the keys, as JSON text. No built-in walks an unknown document, so this
-    is an Arrow-batched function over JSON text."""
-    wanted, most = tuple(a.lower() for a in aliases), depth
-
-    def walk(node, left):
-        if left < 0:
-            return None
-        if isinstance(node, dict):
-            for key, value in node.items():
-                if str(key).lower() in wanted:
-                    return value
-            node = node.values()
-        elif not isinstance(node, list):
-            return None
-        for value in node:
-            found = walk(value, left - 1)
-            if found is not None:
-                return found
+    """The first value, depth first, under one of the keys, as JSON text; null where there is none.
+
+    Keys count as they are spelled. An object that has several of them answers with the one named first among the
+    aliases, and is not searched further, even if that value is null. The root is at depth 0, nothing below depth is
+    looked at. No built-in walks an unknown document, so this is an Arrow-batched function over JSON text.
+    """
+    wanted, most = tuple(aliases), depth
+
+    def walk(root):
+        waiting = [(root, 0)]
+        while waiting:
+            node, level = waiting.pop()
+            named = [a for a in wanted if a in node] if isinstance(node, dict) else []
+            if named:
+                if node[named[0]] is not None:
+                    return node[named[0]]
+            elif level < most:
+                inner = node.values() if isinstance(node, dict) else node
+                waiting += reversed([(x, level + 1) for x in inner if isinstance(x, (dict, list))])
         return None
 
     def run(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             try:
-                found = walk(json.loads(t), most) if t else None
+                root = json.loads(t) if t else None
             except ValueError:
-                found = None
+                root = None
+            found = walk(root) if isinstance(root, (dict, list)) else None
             out.append(None if found is None else json.dumps(found, sort_keys=True))
         return pd.Series(out, dtype=object)
 

@@ -39,7 +39,7 @@ def test_label_bundle(spark, tmp_path):
         readers.read_label_bundle(spark, str(path)).collect()
 
 
-@pytest.mark.parametrize("root", [{"items": [{"image": "in/A.png", "seed": 5}]}, {"images": {"in/A.png": {"seed": "5"}}}, {"version": "1", "in/A.png": {"seed": 5}}])
+@pytest.mark.parametrize("root", [{"items": [{"image": "in/A.png", "seed": 5}]}, {"images": {"in/A.png": {"seed": "5"}}}, {"version": "1", "in/A.png": {"seed": 5}}, {"generator": {"seed": 1}, "created_at": {"seed": 2}, "in/A.png": {"seed": 5}}])
 def test_manifest_shapes(spark, tmp_path, root):
     (tmp_path / "m.json").write_text(json.dumps(root))
     row = readers.read_manifest_entries(spark, str(tmp_path / "m.json")).first()
@@ -47,8 +47,10 @@ def test_manifest_shapes(spark, tmp_path, root):
 
 
 def test_search_by_aliases(spark):
-    df = spark.createDataFrame([('{"x": {"Yaw": 3, "z": 1}}',), ('{"l": [{"roll": 1}, {"yaw": [1]}]}',), ("bad",), (None,)], "t string")
-    assert [r[0] for r in df.select(readers.search_aliases("t", ["yaw"])).collect()] == ["3", "[1]", None, None]
+    """Keys as spelled, the first alias that an object has, a null value ends its object only, depth bounded."""
+    texts = ['{"x": {"yaw": 3, "z": 1}}', '{"l": [{"roll": 1}, {"yaw": [1]}]}', "bad", None, '{"x": {"Yaw": 3}}', '{"head_yaw": 1, "yaw": 2}', '{"x": {"yaw": null, "y": {"yaw": 5}}, "z": {"yaw": 6}}', "[]", "7", '{"a":{"a":{"a":{"yaw":1}}}}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(readers.search_aliases("t", ["yaw", "head_yaw"], depth=2)).collect()] == ["3", "[1]", None, None, None, "2", "6", None, None, None]
 
 
 def test_label_csv_round_trip(spark, tmp_path):
