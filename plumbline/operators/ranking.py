@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import clamp
 from plumbline.operators.joins import null_safe
 from plumbline.operators.running import distributed_rank, running_totals
+from plumbline.session import materialize
 
 
 def _order(score: str, tie: str, confidence: str | None = None) -> list[Column]:
@@ -124,8 +125,8 @@ def groups_with_examples(df: DataFrame, keys: Sequence[str], name: str, confiden
     """
     order = Window.partitionBy(*keys).orderBy(F.coalesce(-F.col(confidence), F.lit(-1.0)), F.col(name))
     examples = df.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= n).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", F.col(name).alias("x")))), lambda s: s["x"]).alias("examples"))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("size"))
-    total = max(1, df.count())
+    sizes = materialize(df.groupBy(*keys).agg(F.count("*").alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 1
     return sizes.join(examples, list(keys)).select(*keys, "size", (F.col("size") / float(total)).alias("share"), "examples")
 
 

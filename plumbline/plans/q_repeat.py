@@ -184,3 +184,10 @@ def selection_penalty(spark, d):
 def lane_agreement(spark, d):
     """Partial sums that Catalyst combines before the shuffle."""
     return rounded(decisions(spark, d).groupBy("expected").agg(F.sum(F.when(F.col("predicted") == F.col("expected"), F.col("weight")).otherwise(0.0)).alias("agreed"), F.sum("weight").alias("total")))
+
+
+@query("q_every_domain", "WITH s AS (SELECT trim(lane_side) AS domain, count(*) AS trials FROM anchor_candidates GROUP BY trim(lane_side)) SELECT d.domain, s.trials, CASE WHEN coalesce(s.trials, 0) > 0 THEN 'OBSERVED' ELSE 'NOT_MEASURED' END AS state FROM (VALUES ('left'), ('right'), ('none'), ('above')) d(domain) LEFT JOIN s USING (domain)")
+def every_domain(spark, d):
+    """Every domain of a protocol, those without trials too."""
+    summary = table(spark, d, "anchor_candidates").groupBy(F.trim("lane_side").alias("domain")).agg(F.count("*").alias("trials"))
+    return rp.with_every_domain(summary, ["left", "right", "none", "above"], spark)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.plans.base import CANDIDATES, ITEMS, candidates, items
+from plumbline.operators import documents
+from plumbline.plans.base import CANDIDATES, ITEMS, ROUTES, candidates, current_sql, items, routes
 from plumbline.plans.registry import query
 from plumbline.session import scratch_path
 from plumbline.sources import readers, sinks
-from plumbline.tables import table
+from plumbline.tables import current_rows, table
 
 
 @query("q_label_csv", "SELECT run_id AS image, 'PASS' AS expected_status, 2.5e0 AS weight, lower(engine_version) || '|x' AS reasons FROM review_runs WHERE engine_version IS NOT NULL")
@@ -22,21 +23,21 @@ def label_csv(spark, d):
 
 @query("q_label_bundle", "SELECT run_id AS image, CASE WHEN finished_at IS NULL THEN 'FAIL' ELSE 'PASS' END AS expected_status, 1.0e0 AS weight FROM review_runs")
 def label_bundle(spark, d):
-    """A bundle of labels as one document, and its validated rows."""
+    """Bundles of labels as documents of bounded size, and their validated rows."""
     state = F.when(F.col("finished_at").isNull(), "fail").otherwise("pass")
-    bundle = sinks.label_template(table(spark, d, "review_runs").select(F.col("run_id").alias("image"), state.alias("status")), readers.LABELS_VERSION).first().text
-    path = scratch_path(spark, "labels") + "/labels.json"
-    sinks.write_document(spark, path, bundle)
+    labels = table(spark, d, "review_runs").select(F.col("run_id").alias("image"), state.alias("status"))
+    path = scratch_path(spark, "labels")
+    sinks.write_label_bundles(labels, path, readers.LABELS_VERSION)
     return readers.read_label_bundle(spark, path).select("image", "expected_status", "weight")
 
 
 @query("q_manifest_file", "SELECT lower(run_id) || '.png' AS path_key, threshold_hash AS prompt_id FROM review_runs")
 def manifest_file(spark, d):
-    """A manifest as a document whose entries are found whatever the shape of its root."""
+    """A manifest as documents whose entries are found whatever the shape of their roots."""
     rows = table(spark, d, "review_runs").select(F.struct(F.concat(F.lit("./"), F.upper("run_id"), F.lit(".PNG")).alias("image"), F.col("threshold_hash").alias("prompt_id")).alias("e"))
-    text = rows.agg(F.to_json(F.struct(F.lit("1").alias("version"), F.collect_list("e").alias("items"))).alias("text")).first().text
-    path = scratch_path(spark, "manifest") + "/manifest.json"
-    sinks.write_document(spark, path, text)
+    path = scratch_path(spark, "manifest")
+    documents = rows.groupBy(sinks.part_of("e", rows.count(), 1000)).agg(F.collect_list("e").alias("items"))
+    documents.select(F.to_json(F.struct(F.lit("1").alias("version"), "items"))).write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_manifest_entries(spark, path).select("path_key", "prompt_id")
 
 
@@ -84,7 +85,44 @@ def cache_table(spark, d):
     """A cache appended by version; another version is a miss."""
     path = scratch_path(spark, "cache")
     rows = table(spark, d, "parser_metrics").select("metric_id", "provider_version")
-    for version in [r[0] for r in rows.select("provider_version").distinct().orderBy("provider_version").collect()]:  # a few versions
-        sinks.append_cache(rows.filter(F.col("provider_version").eqNullSafe(version)).select("metric_id"), path, version)
-    found = spark.read.option("basePath", path).schema("metric_id bigint, version string").parquet(path)
+    sinks.append_cache(rows, path, F.col("provider_version"))
+    found = spark.read.schema("metric_id bigint, provider_version string, version string").parquet(path)
     return found.groupBy("version").agg(F.count("*").alias("n"))
+
+
+@query("q_search_aliases", "SELECT route_id, '\"' || coalesce(face_bucket, pose_bucket, face_side) || '\"' AS found FROM view_routes")
+def search_aliases(spark, d):
+    """The value under the first of several names, wherever a document has one."""
+    first = F.struct(F.col("pose_bucket").alias("bucket_name"), F.col("face_bucket").alias("bucket"))
+    doc = F.to_json(F.struct(F.array(F.struct(first.alias("meta"), F.struct(F.col("face_side").alias("bucket")).alias("other"))).alias("parts")))
+    return table(spark, d, "view_routes").select("route_id", readers.search_aliases(doc, ["bucket", "bucket_name"]).alias("found"))
+
+
+@query("q_run_snapshots", "SELECT 'run=' || run_id AS run, active_profile AS profile, layer FROM review_runs")
+def run_snapshots(spark, d):
+    """A snapshot file in each run's folder, found by a pattern and read as open documents."""
+    path = scratch_path(spark, "snapshots")
+    rows = table(spark, d, "review_runs").select(F.to_json(F.struct("active_profile", F.struct("layer").alias("batch"))).alias("value"), F.col("run_id").alias("run"))
+    rows.repartition(F.col("run")).write.partitionBy("run").text(path)
+    docs = readers.read_run_snapshots(spark, f"{path}/run=*/*.txt")
+    return docs.select("run", readers.at_path("doc", "active_profile").alias("profile"), readers.at_path("doc", "batch.layer").alias("layer"))
+
+
+_ROLE = "lane || '/' || run_id"
+
+
+@query("q_anchors_by_role", f"WITH l AS (SELECT DISTINCT {_ROLE} AS role, trim(image) AS path FROM {CANDIDATES} WHERE status = 'FAIL' AND trim(coalesce(image, '')) <> '' AND run_id IS NOT NULL), s AS (SELECT DISTINCT {_ROLE} AS role, trim(image) AS path FROM {CANDIDATES} WHERE run_id IS NOT NULL) SELECT role, path, 'registry' AS source FROM l UNION ALL SELECT role, path, 'folder' FROM s WHERE role NOT IN (SELECT role FROM l)")
+def anchors_by_role(spark, d):
+    """A role's registered images, else those of its folder."""
+    rows = candidates(spark, d).filter("run_id IS NOT NULL").select(F.concat_ws("/", "lane", "run_id").alias("role"), F.trim("image").alias("path"), "status")
+    registry = rows.filter("status = 'FAIL'").select("role", "path").distinct()
+    return readers.anchors_by_role(registry, rows.select("role", "path").distinct())
+
+
+@query("q_anchor_pools", f"SELECT lane AS role, r.run_id || '/' || r.image AS path, p.confidence FROM {ROUTES} r JOIN {current_sql('parser_metrics', 'metric_id')} p ON p.run_id = r.run_id AND p.image = r.image WHERE lane IN ('front', 'side_90') AND p.ok")
+def anchor_pools(spark, d):
+    """The usable anchors of the wanted roles, with their features."""
+    path = F.concat_ws("/", "run_id", "image").alias("path")
+    registry = routes(spark, d).filter("run_id IS NOT NULL AND image IS NOT NULL").select(F.col("lane").alias("role"), path)
+    features = current_rows(table(spark, d, "parser_metrics"), "metric_id").filter("run_id IS NOT NULL AND image IS NOT NULL").select(path, "ok", "confidence")
+    return documents.anchor_pools(registry, features, ["front", "side_90"]).select("role", "path", "confidence")

@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if current is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plumbline-"))
         current = spark.sparkContext.getCheckpointDir()
@@ -67,6 +67,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return written
 
 
+def settled(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """df (or columns of it) written, unless it comes straight from materialize; for what is read several times."""
+    if getattr(df, "_plumbline_path", None):
+        return df
+    return materialize(df.select(*columns) if columns else df, name)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete materialized tables that nothing will read again, such as those of a loop's earlier rounds."""
     for df in frames:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import upsert
@@ -55,6 +55,20 @@ def label_template(items: DataFrame, version: str, role: str = "template") -> Da
     return items.agg(F.to_json(F.struct(F.lit(version).alias("schema_version"), F.lit(role).alias("dataset_role"), nodes.alias("items"))).alias("text"))
 
 
+def part_of(key: str, rows: int, size: int) -> Column:
+    """The number of the part that a row belongs to, by a hash of the key: parts of about size rows."""
+    return F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows // size)))).alias("part")
+
+
+# K06
+def write_label_bundles(items: DataFrame, path: str, version: str, size: int = 1000) -> None:
+    """Label bundles of about size items (image, status) each, a document per file, written by the tasks."""
+    node = F.struct("image", F.struct(F.col("status").alias("expected_status"), F.lit(1.0).alias("weight"), F.lit("").alias("notes")))
+    nodes = items.groupBy(part_of("image", items.count(), size)).agg(F.map_from_entries(F.array_sort(F.collect_list(node))).alias("items"))
+    text = F.to_json(F.struct(F.lit(version).alias("schema_version"), F.lit("template").alias("dataset_role"), "items"))
+    nodes.select(text).write.option("maxRecordsPerFile", 1).text(path)
+
+
 # K08, K09, K10
 def upsert_table(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], version: str) -> str:
     """The path of a new version of a keyed table: under path/v=<n>, so that readers of the old one are not disturbed."""
@@ -84,5 +98,6 @@ def refreshed_manifest(scanned: DataFrame, existing: DataFrame, key: str) -> Dat
 
 
 # K12
-def append_cache(df: DataFrame, path: str, version: str) -> None:
-    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+def append_cache(df: DataFrame, path: str, version: Column | str) -> None:
+    """Rows added under their version, a folder each: one for all, or a column. One scan and one write."""
+    df.withColumn("version", F.lit(version) if isinstance(version, str) else version).write.mode("append").partitionBy("version").parquet(path)
