@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import ColumnLike, clamp, col, row_weighted_mean
 from plumbline.operators.joins import null_safe
 from plumbline.operators.running import exact_percentiles, running_totals
+from plumbline.session import settled
 
 STATUSES = ("PASS", "WARN", "FAIL")
 
@@ -109,6 +110,7 @@ def stability(value: ColumnLike, scale: float, single: float = 0.58) -> Column:
 # A16, W06
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str, least: float = 0.02) -> DataFrame:
     """keys, centre (median), mad, scale = max(least, 1.4826 mad). Two exact medians, no window over a whole group."""
+    df = settled(df, "values", [*keys, value])
     centres = exact_percentiles(df, keys, value, [50]).select(*keys, F.col("value").alias("centre"))
     gaps = null_safe(df.select(*keys, F.col(value).alias("__v")), centres, keys).withColumn("__gap", F.abs(F.col("__v") - F.col("centre")))
     mads = exact_percentiles(gaps, [*keys, "centre"], "__gap", [50])
@@ -138,17 +140,27 @@ def dominant(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 # A24
-def descriptor(value: ColumnLike, prefix: str = "") -> list[Column]:
-    """min, median, max, spread of the finite values; all null without one."""
+def describe(df: DataFrame, keys: Sequence[str], value: ColumnLike, prefix: str = "", extra: Sequence[Column] = ()) -> DataFrame:
+    """keys, extra aggregates, and n, min, median, max, spread of the finite values; all but n null without one.
+
+    The median is counted over distinct values in parts of the groups, so that no task holds a hot group's values.
+    """
     c = col(value)
     fine = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-    return [F.count(fine).alias(f"{prefix}n"), F.min(fine).alias(f"{prefix}min"), F.median(fine).alias(f"{prefix}median"), F.max(fine).alias(f"{prefix}max"), (F.max(fine) - F.min(fine)).alias(f"{prefix}spread")]
+    rows = settled(df.withColumn("__v", fine), "described")
+    v = F.col("__v")
+    flat = rows.groupBy(*keys).agg(*extra, F.count(v).alias(f"{prefix}n"), F.min(v).alias(f"{prefix}min"), F.max(v).alias(f"{prefix}max"), (F.max(v) - F.min(v)).alias(f"{prefix}spread"))
+    medians = exact_percentiles(rows, keys, "__v", [50]).select(*keys, F.col("value").alias(f"{prefix}median"))
+    return null_safe(flat, medians, keys, "left")
 
 
 # A30, A31
-def guarded_percentiles(value: ColumnLike, percents: Sequence[float], least: int = 1) -> list[Column]:
-    """Interpolated percentiles; null below least values."""
-    return [F.when(F.count(col(value)) >= least, F.percentile(col(value), F.lit(p / 100.0))).alias(f"p{p:g}".replace(".", "_")) for p in percents]
+def guarded_percentiles(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float], least: int = 1) -> DataFrame:
+    """keys, n and the interpolated percentiles; null below least values. Counted in parts of the groups, as in describe."""
+    rows = settled(df, "calibrated", [*keys, value])
+    got = exact_percentiles(rows, keys, value, percents).filter(F.col("n") >= least)
+    named = [F.max(F.when(F.col("pct") == float(p), F.col("value"))).alias(f"p{p:g}".replace(".", "_")) for p in percents]
+    return null_safe(rows.groupBy(*keys).agg(F.count(value).alias("n")), got.groupBy(*keys).agg(*named), keys, "left")
 
 
 # A32

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import cosine, unit
 from plumbline.operators.aggregates import robust_scale, weighted_mean
+from plumbline.session import settled
 
 
 # A15
@@ -38,6 +39,7 @@ def similarity_to_centroid(df: DataFrame, key: str, row_id: str, vector: str, di
 # W07
 def centroid_outliers(similarities: DataFrame, key: str, limit: float = 2.8, floor: float = 0.74) -> DataFrame:
     """Rows with z, max(0, median - similarity) / max(0.01, 1.4826 mad), and outlier (z at the limit or below the floor)."""
+    similarities = settled(similarities, "similarities")
     scale = robust_scale(similarities, [key], "similarity", 0.01)
     rows = similarities.join(scale, key)
     z = F.greatest(F.lit(0.0), (F.col("centre") - F.col("similarity")) / F.col("scale"))

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import stable_id
-from plumbline.operators.aggregates import descriptor
+from plumbline.operators.aggregates import describe
+from plumbline.operators.joins import null_safe
 from plumbline.operators.running import exact_percentiles
+from plumbline.session import settled
 
 #: domain, repetitions, transform, family, strength, unit (fixed values of the preregistered protocol's shape)
 PLAN = "domain string, repeat_count int, transform_id string, family string, signed_strength double, unit string"
@@ -30,11 +32,10 @@ def trial_plan(protocol: DataFrame, repeated: str = "numerical_repeatability") -
 
 # A25
 def trial_summary(trials: DataFrame, keys: Sequence[str], family: str, residual: str) -> DataFrame:
-    """Descriptors of the residuals per key and per key and family, in one pass; family null is the whole key."""
+    """Descriptors of the residuals per key and per key and family; family null is the whole key."""
     kind = F.coalesce(F.nullif(F.trim(F.col(family)), F.lit("")), F.lit("unclassified"))
-    rows = trials.select(*keys, kind.alias("__f"), F.col(residual).alias("__r"))
-    sets = [[*[F.col(k) for k in keys], F.col("__f")], [F.col(k) for k in keys]]
-    return rows.groupingSets(sets, *[F.col(k) for k in keys], F.col("__f")).agg(F.when(F.grouping("__f") == 1, F.lit("all")).otherwise(F.lit("family")).alias("level"), F.count("*").alias("trials"), *descriptor("__r")).withColumnRenamed("__f", "family")
+    rows = trials.select(*keys, F.col(residual).alias("__r"), F.explode(F.array(F.struct(F.lit("family").alias("level"), kind.alias("family")), F.struct(F.lit("all").alias("level"), F.lit(None).cast("string").alias("family")))).alias("__s"))
+    return describe(rows.select(*keys, "__r", "__s.*"), [*keys, "level", "family"], "__r", extra=[F.count("*").alias("trials")])
 
 
 def chain_transitions(trials: DataFrame, keys: Sequence[str], baseline: str, trial: str) -> DataFrame:
@@ -47,19 +48,23 @@ def chain_transitions(trials: DataFrame, keys: Sequence[str], baseline: str, tri
 def diagnostics_summary(trials: DataFrame, keys: Sequence[str], diagnostics: str) -> DataFrame:
     """keys, name and descriptor of each entry of a map of diagnostics."""
     long = trials.select(*keys, F.explode(diagnostics).alias("name", "__v"))
-    return long.groupBy(*keys, "name").agg(*descriptor("__v"))
+    return describe(long.withColumnRenamed("__v", "__d"), [*keys, "name"], "__d")
 
 
 # A26
 def cohort_summary(trials: DataFrame, source: str, family: str, residual: str, unit: Column | None = None) -> DataFrame:
     """Across sources: descriptors of the sources' medians, maxima and spreads, per family; two aggregations."""
-    per_source = trials.groupBy(source, family).agg(*descriptor(residual, "s_"), *([F.count_distinct(unit).alias("s_units")] if unit is not None else []))
-    out = [F.count("*").alias("sources"), F.sum("s_n").alias("values")]
-    for measure in ("median", "max", "spread"):
-        out += descriptor(f"s_{measure}", f"{measure}_")
+    units = [F.count_distinct("__unit").alias("s_units")] if unit is not None else []
+    slim = trials.select(source, family, residual, *([unit.alias("__unit")] if units else []))
+    per_source = settled(describe(slim, [source, family], residual, "s_", units), "sources")
+    extra = [F.count("*").alias("sources"), F.sum("s_n").alias("values")]
     if unit is not None:
-        out.append((F.max("s_units") <= 1).alias("unit_consistent"))
-    return per_source.groupBy(family).agg(*out)
+        extra.append((F.max("s_units") <= 1).alias("unit_consistent"))
+    out = None
+    for measure in ("median", "max", "spread"):
+        own = describe(per_source.select(family, "s_n", f"s_{measure}", *["s_units"] * bool(units)), [family], f"s_{measure}", f"{measure}_", extra if out is None else ())
+        out = own if out is None else null_safe(out, own, [family])
+    return out
 
 
 # A27, A28
@@ -74,8 +79,10 @@ def component_quantiles(df: DataFrame, keys: Sequence[str], name: str, value: st
 # A29
 def quantiles_across(df: DataFrame, source: str, keys: Sequence[str], value: str, percent: float = 50) -> DataFrame:
     """Descriptors across sources of each source's percentile."""
-    per = df.groupBy(source, *keys).agg(F.percentile(value, F.lit(percent / 100.0)).alias("__p"))
-    return per.groupBy(*keys).agg(F.count("*").alias("sources"), *descriptor("__p"))
+    rows = settled(df, "values", [source, *keys, value])
+    per = exact_percentiles(rows, [source, *keys], value, [percent]).select(source, *keys, F.col("value").alias("__p"))
+    everyone = null_safe(rows.select(source, *keys).distinct(), per, [source, *keys], "left")
+    return describe(everyone, keys, "__p", extra=[F.count("*").alias("sources")])
 
 
 # A49

@@ -1,9 +1,11 @@
 """Running totals, ranks and exact percentiles of groups of any size.
 
-A window partitioned by a key sorts the whole group in one task. Here the rows are range partitioned by key and order, so
-a group that holds a third of the table is cut into as many parts as its share deserves; every part adds up its own
-rows, and what came before a part is a running total over the parts, a few rows per key. The parts are written to the
-shared folder once, so that they stay the same however often a task is run again.
+A window partitioned by a key sorts the whole group in one task. Here the rows are written to the shared folder first, as
+a range partitioning reads its input twice. Where the whole table has no more rows than one task may hold, a window does
+the rest. Otherwise the rows are range partitioned by key and order, so a group that holds a third of the table is cut
+into as many parts as its share deserves; every part adds up its own rows, and what came before a part is a running
+total over the parts, a few rows per key. The parts are written once more, so that they stay the same however often a
+task is run again.
 """
 
 from __future__ import annotations
@@ -14,13 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import null_safe
-from plumbline.session import materialize
+from plumbline.session import materialize, parts_for
 
-
-def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    spread = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-    return materialize(spread.withColumn("__part", F.spark_partition_id()), "parts")
+#: Rows that one task may sort.
+TASK_ROWS = 500_000
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], totals: dict[str, Column], wholes: dict[str, Column] | None = None) -> DataFrame:
@@ -30,7 +29,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     for the result to be certain.
     """
     wholes = wholes or {}
-    cut = _cut(df.withColumns({f"__t_{n}": c for n, c in totals.items()} | {f"__w_{n}": c for n, c in wholes.items()}), keys, order)
+    held = materialize(df.withColumns({f"__t_{n}": c for n, c in totals.items()} | {f"__w_{n}": c for n, c in wholes.items()}), "rows")
+    rows, helpers = held.count(), [*[f"__t_{n}" for n in totals], *[f"__w_{n}" for n in wholes]]
+    if rows <= TASK_ROWS:
+        upto, group = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+        sums_ = {n: F.coalesce(F.sum(f"__t_{n}").over(upto), F.lit(0)) for n in totals} | {n: F.sum(f"__w_{n}").over(group) for n in wholes}
+        return held.withColumns(sums_).drop(*helpers)
+    spread = held.repartitionByRange(parts_for(df.sparkSession, rows, TASK_ROWS), *[F.col(k) for k in keys], *order)
+    cut = materialize(spread.withColumn("__part", F.spark_partition_id()), "parts")
     sums = cut.groupBy(*keys, "__part").agg(*[F.sum(f"__t_{n}").alias(f"__b_{n}") for n in totals], *[F.sum(f"__w_{n}").alias(n) for n in wholes])
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)
@@ -39,7 +45,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     out = null_safe(cut, sums, [*keys, "__part"])
     for n in totals:
         out = out.withColumn(n, F.col(f"__b_{n}") + F.coalesce(F.sum(f"__t_{n}").over(inside), F.lit(0)))
-    return out.drop("__part", *[f"__{p}_{n}" for p in ("t", "b") for n in totals], *[f"__w_{n}" for n in wholes])
+    return out.drop("__part", *[f"__b_{n}" for n in totals], *helpers)
 
 
 def distributed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:

@@ -156,15 +156,13 @@ _DESCRIPTOR = "count({v}) AS {p}n, min({v}) AS {p}min, median({v}) AS {p}median,
 @query("q_descriptor", "SELECT event_type, n, round(\"min\", 6) AS \"min\", round(\"median\", 6) AS \"median\", round(\"max\", 6) AS \"max\", round(spread, 6) AS spread FROM (SELECT event_type, " + _DESCRIPTOR.format(v="value", p="") + " FROM events WHERE isfinite(value) GROUP BY event_type)")
 def descriptor(spark, d):
     """A24."""
-    return rounded(table(spark, d, "events").groupBy("event_type").agg(*ag.descriptor("value")))
+    return rounded(ag.describe(table(spark, d, "events").select("event_type", "value"), ["event_type"], "value"))
 
 
 @query("q_percentile_calibration", f"SELECT lane, count(score) AS n, round(CASE WHEN count(score) >= 8 THEN quantile_cont(score, 0.10) END, 6) AS p10, round(CASE WHEN count(score) >= 8 THEN quantile_cont(score, 0.15) END, 6) AS p15 FROM {CANDIDATES} GROUP BY lane")
 def percentile_calibration(spark, d):
     """Exact interpolated percentiles with a least number of samples."""
-    rows = candidates(spark, d).select("lane", "score")
-    exact = exact_percentiles(rows, ["lane"], "score", [10, 15]).filter("n >= 8").groupBy("lane").agg(*[F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"p{p}") for p in (10, 15)])
-    return rounded(rows.groupBy("lane").agg(F.count("score").alias("n")).join(exact, "lane", "left"))
+    return rounded(ag.guarded_percentiles(candidates(spark, d), ["lane"], "score", [10, 15], least=8))
 
 
 _WQ = "WITH v AS (SELECT l_returnflag, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY l_returnflag) AS total FROM v), p AS (SELECT *, lag(c) OVER (PARTITION BY l_returnflag ORDER BY v) AS pc, lag(v) OVER (PARTITION BY l_returnflag ORDER BY v) AS pv FROM r), q AS (SELECT p.*, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS q FROM p)"

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from plumbline.functions import measures as ms
-from plumbline.operators import documents, records
+from plumbline.operators import documents, records, running
 from plumbline.operators.running import distributed_rank, exact_percentiles, running_totals
 from tests.conftest import rows_of
 
@@ -36,7 +36,13 @@ def test_masks(spark):
     assert tuple(got[0]) == (pytest.approx(4 / 6), pytest.approx(3 / 5), [3, 2]) and tuple(got[1]) == (0.0, None, [None]) and tuple(got[2]) == (None, None, [])
 
 
-def test_running_totals_of_a_hot_group(spark):
+@pytest.fixture(params=[500_000, 200])
+def task_rows(request, monkeypatch):
+    """Rows of a task: the whole table in one, and a hot group in parts."""
+    monkeypatch.setattr(running, "TASK_ROWS", request.param)
+
+
+def test_running_totals_of_a_hot_group(spark, task_rows):
     rows = [("hot", i % 97, i) for i in range(3000)] + [(None, 1, 5000), (None, 2, 5001), ("b", 1, 6000)]
     df = spark.createDataFrame(rows, "k string, v int, id int")
     got = {r.id: (r.total, r.whole) for r in running_totals(df, ["k"], [F.col("v"), F.col("id")], {"total": F.col("v")}, {"whole": F.lit(1)}).collect()}
@@ -50,7 +56,7 @@ def test_running_totals_of_a_hot_group(spark):
     assert running_totals(df.limit(0), ["k"], [F.col("v")], {"t": F.col("v")}).count() == 0
 
 
-def test_exact_percentiles(spark):
+def test_exact_percentiles(spark, task_rows):
     import numpy as np
 
     rng = np.random.default_rng(0)
