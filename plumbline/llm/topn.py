@@ -13,17 +13,21 @@ score belong to no ranking. Null group keys form groups of their own. Repeated r
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import scratch_path
+from plumbline.session import materialize, parts_for, scratch_path
 
+#: Rows of a clustered file.
+FILE_ROWS = 500_000
+#: Names of file systems, in Hadoop and in Arrow (fixed values).
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 CLUSTERED = "grp string, score double, tie string, id bigint"
 
 
@@ -32,9 +36,10 @@ def cluster_by_group(rows: DataFrame, keys: list[str], score: str, tie: str, row
     spark = rows.sparkSession
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.replace(F.col(c).cast("string"), F.lit("\x00"), F.lit("\x00\x00"))), F.lit("-"))
     slim = rows.select(F.concat_ws("\x00\x01", *[part(k) for k in keys]).alias("grp"), F.col(score).cast("double").alias("score"), F.col(tie).cast("string").alias("tie"), F.col(row_id).cast("bigint").alias("id"))
-    slim = slim.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    # a range partitioning reads its input twice
+    slim = materialize(slim.filter(F.col("score").isNotNull() & ~F.isnan("score")), "scored")
     order = [F.col("grp"), F.col("score").desc(), F.col("tie").asc_nulls_last(), F.col("id")]
-    count = files or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    count = files or parts_for(spark, slim.count(), FILE_ROWS)
     path = scratch_path(spark, "clustered")
     writer = slim.repartitionByRange(count, *order).sortWithinPartitions(*order).write
     writer.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", 2000).option("parquet.block.size.row.check.min", 1).parquet(path)
@@ -42,7 +47,8 @@ def cluster_by_group(rows: DataFrame, keys: list[str], score: str, tie: str, row
 
 
 def _open(uri: str) -> pq.ParquetFile:
-    fs, path = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri.removeprefix("file:"))
+    scheme, there, rest = uri.partition("://")
+    fs, path = pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + there + rest) if there else (pafs.LocalFileSystem(), uri.removeprefix("file:"))
     return pq.ParquetFile(fs.open_input_file(path))
 
 
@@ -50,6 +56,13 @@ def _uri(path: str) -> str:
     return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """A table's files: one for every FILE_ROWS rows."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(jvm_path)
+    return [s.getPath().toString() for s in listed if s.getPath().getName().endswith(".parquet") and s.getLen() > 0]
+
+
 def row_group_statistics(spark: SparkSession, path: str) -> DataFrame:
     """file, row_group, rows, first and last group, lowest and highest score: from the footers, read in parallel."""
 
@@ -65,12 +78,10 @@ def row_group_statistics(spark: SparkSession, path: str) -> DataFrame:
             cols = list(zip(*out)) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=["file", "row_group", "rows", "first_group", "last_group", "low", "high"])
 
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    listed = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(jvm_path)
-    files = [(s.getPath().toString(),) for s in listed if s.getPath().getName().endswith(".parquet") and s.getLen() > 0]
+    files = _files(spark, path)
     if not files:
         return spark.createDataFrame([], "file string, row_group int, rows bigint, first_group string, last_group string, low double, high double")
-    names = spark.createDataFrame(files, "file string").repartition(max(1, min(len(files), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))))
+    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(parts_for(spark, len(files), 50))
     return names.mapInArrow(run, "file string, row_group int, rows bigint, first_group string, last_group string, low double, high double")
 
 
@@ -86,48 +97,35 @@ def top_n(spark: SparkSession, path: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _best_of_file(row["file"], row["groups"], n)
+                yield from _best_of_file(row["file"], row["groups"], n).to_batches()
 
-    # a fixed number of tasks: the plan is tiny, what it makes the tasks read is not
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    found = plan.repartition(tasks, "file").mapInArrow(run, CLUSTERED)
+    # the plan is tiny, what it makes the tasks read is not: a row is a file
+    found = plan.repartition(max(1, len(_files(spark, path))), "file").mapInArrow(run, CLUSTERED)
     rank = Window.partitionBy("grp").orderBy(F.col("score").desc(), F.col("tie").asc_nulls_last(), F.col("id"))
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
 
 
-def _best_of_file(uri: str, groups: list[dict], n: int) -> pa.RecordBatch:
-    best: dict[str, list] = {}
+def _first_rows(grp: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Which rows are among the first n of a run of equal groups."""
+    codes = grp.combine_chunks().dictionary_encode().indices.to_numpy()
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, int)
+    return np.arange(len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)])) < n
+
+
+def _best_of_file(uri: str, groups: list[dict], n: int) -> pa.Table:
+    """The first n rows of every group of a file. The file is in the order of groups and ranks, so these are the first rows
+    of the group's run, and only groups that fill whole row groups need a floor."""
+    floors: dict[str, float] = {}
+    found: list[tuple[int, pa.Table]] = []
     with _open(_uri(uri)) as f:
         for group in groups:
-            if group["first_group"] == group["last_group"]:
-                held = best.get(group["first_group"])
-                if held and len(held) == n and group["high"] < held[0][0]:
-                    continue  # strictly below the N-th score: ties are still read
-            table = f.read_row_group(group["row_group"])
-            for name, score, tie, id_ in zip(*(table.column(c).to_pylist() for c in ("grp", "score", "tie", "id"))):
-                held = best.setdefault(name, [])
-                if len(held) < n:
-                    heapq.heappush(held, (score, _Down(tie, id_)))
-                elif score >= held[0][0] and (score, (entry := _Down(tie, id_))) > held[0]:
-                    heapq.heapreplace(held, (score, entry))
-    rows = [(g, s, d.tie, d.id) for g, held in best.items() for s, d in held]
-    cols = list(zip(*rows)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.string(), pa.int64()))], names=["grp", "score", "tie", "id"])
-
-
-class _Down:
-    """Compares so that the smaller tie, then the smaller id, is the greater; a null tie is the least."""
-
-    __slots__ = ("tie", "id")
-
-    def __init__(self, tie: str | None, id_: int):
-        self.tie, self.id = tie, id_
-
-    def key(self) -> tuple:
-        return (self.tie is None, self.tie or "", self.id)
-
-    def __lt__(self, other: _Down) -> bool:
-        return other.key() < self.key()
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Down) and self.key() == other.key()
+            name = group["first_group"] if group["first_group"] == group["last_group"] else None
+            if name is not None and group["high"] < floors.get(name, -np.inf):
+                continue  # strictly below the N-th score: ties are still read
+            rows = f.read_row_group(group["row_group"])
+            rows = rows.filter(pa.array(_first_rows(rows.column("grp"), n)))
+            found.append((group["row_group"], rows))
+            if name is not None and rows.num_rows == n:
+                floors[name] = max(floors.get(name, -np.inf), rows.column("score")[n - 1].as_py())
+    whole = pa.concat_tables([rows for _, rows in sorted(found, key=lambda x: x[0])])
+    return whole.filter(pa.array(_first_rows(whole.column("grp"), n)))
