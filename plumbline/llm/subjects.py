@@ -408,8 +408,7 @@ def map_topics(terms_: list[str], topics: np.ndarray, labelled: np.ndarray, layo
 def languages_of(documents: DataFrame, share: float = LEAST_LANGUAGE) -> list[str]:
     """The languages of at least so large a share of the documents; at most 1 / share of them."""
     counts = documents.groupBy("lang").agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("all"))  # one row
-    return sorted(r.lang for r in counts.filter("lang is not null").join(F.broadcast(whole), F.col("n") >= share * F.col("all")).collect())
+    return sorted(r.lang for r in counts.filter((F.col("n") >= share * documents.count()) & F.col("lang").isNotNull()).collect())
 
 
 def fit_subjects(documents: DataFrame, areas: list[str], examples: DataFrame, rounds: int = ROUNDS) -> tuple[SubjectModel, DataFrame]:
