@@ -3,7 +3,8 @@
 A store holds, per term, its occurrences and the number of records that have it, in a table partitioned by a hash
 bucket of the term. merge() takes changed records only: +1 for a version that came in, -1 for the version it replaces
 or for a deleted record. They are aggregated to one signed change per term, and only the buckets that the changes touch
-are read and written; the others stay where an earlier merge wrote them. Counts that reach zero leave the store.
+are read and written; the others stay where an earlier merge wrote them. Counts that reach zero leave the store. save()
+writes down where the buckets are, and open() takes the store up again in a later run.
 
 Defined results: null lists, null and blank elements have no terms; repeated elements of a record count as several
 occurrences and one record. Counting is complete: no term is capped or sampled.
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import scratch_path
+from plumbline.sources.sinks import write_document
 from plumbline.tables import strip
 
 
@@ -40,6 +42,11 @@ def term_deltas(records: DataFrame, terms: str, sign: str, keys: tuple[str, ...]
     return rows.groupBy(*keys, F.col(one).alias("term")).agg(F.sum(F.col("__sign") * occurrences).alias("occurrences"), F.sum("__sign").alias("records"))
 
 
+def buckets_for(terms: int, per_bucket: int = 1_000_000) -> int:
+    """The number of buckets of a store of about so many terms: a bucket is what one task writes."""
+    return max(16, -(-terms // per_bucket))
+
+
 class TermCounts:
     """A store of counts in the shared folder: a list of bucket tables and the total of records."""
 
@@ -61,20 +68,23 @@ class TermCounts:
         parts = [self.spark.read.schema(self.SCHEMA + ", bucket int").option("basePath", folder).parquet(*[f"{folder}/bucket={b}" for b in own]).drop("bucket") for folder, own in by_folder.items()]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
 
-    def merge(self, deltas: DataFrame) -> TermCounts:
-        """Add signed changes (origin, term, occurrences, records). The changes are written first and read twice."""
+    def merge(self, deltas: DataFrame, written: bool = False) -> TermCounts:
+        """Add signed changes (origin, term, occurrences, records). They are read twice, so they are written first, unless
+        they come from a written table."""
         self.generation += 1
         changes_path, folder = f"{self.path}/changes-{self.generation}", f"{self.path}/v{self.generation}"
         bucket = F.pmod(F.xxhash64("origin", "term"), F.lit(self.buckets)).cast("int")
-        deltas.withColumn("bucket", bucket).write.mode("overwrite").parquet(changes_path)
-        changes = self.spark.read.schema(self.SCHEMA + ", bucket int").parquet(changes_path)
+        changes = deltas.withColumn("bucket", bucket)
+        if not written:
+            changes.write.mode("overwrite").parquet(changes_path)
+            changes = self.spark.read.schema(self.SCHEMA + ", bucket int").parquet(changes_path)
         touched = sorted(r.bucket for r in changes.select("bucket").distinct().collect())  # at most self.buckets numbers
         if not touched:
             return self
         known = self.counts(touched).withColumn("bucket", bucket)
         merged = known.unionByName(changes).groupBy("origin", "term", "bucket").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
         merged = merged.filter((F.col("occurrences") != 0) | (F.col("records") != 0))
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        merged.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
         written = {int(r.bucket) for r in self.spark.read.schema(self.SCHEMA + ", bucket int").parquet(folder).select("bucket").distinct().collect()}
         for b in touched:
             if b in written:
@@ -86,6 +96,16 @@ class TermCounts:
     def manifest(self) -> str:
         return json.dumps({"path": self.path, "buckets": self.buckets, "generation": self.generation, "versions": self.versions})
 
+    def save(self) -> str:
+        """Write the manifest beside the buckets; the path that open() takes."""
+        write_document(self.spark, f"{self.path}/manifest.json", self.manifest())
+        return self.path
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TermCounts:
+        """The store that an earlier run saved."""
+        return cls.restore(spark, spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])
+
     @classmethod
     def restore(cls, spark: SparkSession, manifest: str) -> TermCounts:
         """The store that a manifest describes, for the next day's changes."""
