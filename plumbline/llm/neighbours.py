@@ -4,32 +4,39 @@ Every tree halves a bounded sample at the median of its projection on the differ
 depth that leaves about leaf_rows rows of the whole table to a leaf. The trees, bounded by the sample, are broadcast and
 every row is put into its leaf of every tree. A row then searches all trees through one priority queue ordered by the
 largest margin by which a node lies on the far side of a split: it pops the nearest node of any tree, descends to a leaf
-and queues the siblings it passes, until search_leaves leaves are chosen. Rows and searchers of a leaf meet in one
-shuffle; there all similarities are computed exactly, in double precision and in blocks, and each searcher keeps its k
-best of the leaf; a second shuffle merges these over the leaves. A leaf that is much larger than planned, because the
-sample was too small for the table, is searched through a forest of its own in the same way.
+and queues the siblings it passes, until search_leaves leaves are chosen. All similarities within these leaves are
+computed exactly, in double precision and in blocks. A leaf that is much larger than planned, because the sample was too
+small for the table, is searched through a forest of its own in the same way.
+
+What is shuffled: neighbouring leaves of a tree form a group of about group_rows rows, one task's share, and a row goes
+once to each group that it searches, with the list of its leaves there, and as delivered (signatures of 4-byte numbers
+are scaled to unit length where they arrive). Before that it goes to its group of the first tree alone, where its k-th
+best similarity so far becomes a floor: of what it finds anywhere later, only what reaches the floor is sent on, and the
+k best of these are its neighbours. A floor is the similarity of k real rows, so it costs no neighbour.
 
 Exact copies are searched once, by their smallest id, so a hot group of copies is one row here; of each group only the
 k + 1 smallest ids can be anyone's neighbours.
 
 Defined results: similarity downward, then neighbour id upward; a row is not its own neighbour; fewer than k where the
-table has fewer other rows. Rows that are not usable must have been dropped (signatures.unit_vectors).
+table has fewer other rows. Rows that are not usable must have been dropped (signatures.usable_signatures).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.signatures import lists, matrix, sorted_runs
-from plumbline.session import materialize
+from plumbline.llm.signatures import lists, matrix, sorted_runs, together
+from plumbline.session import materialize, parts_for
 
 #: Production parameters. Measured recall of the ten nearest: see the README.
 TREES, LEAF_ROWS, SEARCH_LEAVES, SAMPLE_ROWS = 3, 1024, 24, 65_536
+#: Rows of a group of leaves; leaves searched for the floor; the sample grows with the table, up to MOST_SAMPLE rows.
+GROUP_ROWS, FLOOR_LEAVES, MOST_SAMPLE = 65_536, 4, 1 << 20
 #: Cells of a block of similarities.
 BLOCK = 1 << 22
 
@@ -65,18 +72,18 @@ class Forest:
         direction = rng.normal(size=width)
         return direction / np.linalg.norm(direction)
 
-    def probe(self, rows: np.ndarray, leaves: int) -> np.ndarray:
-        """The leaves that each row searches, nearest first; the first ones are its own leaves of all trees."""
-        count, own = len(rows), np.arange(len(rows))
-        leaves = max(self.trees, min(leaves, self.trees << self.depth))
-        cost = np.full((count, self.trees + leaves * self.depth), np.inf)
+    def probe(self, rows: np.ndarray, leaves: int, trees: int | None = None) -> np.ndarray:
+        """The leaves that each row searches, nearest first; the first ones are its own leaves of all (or the first) trees."""
+        count, own, trees = len(rows), np.arange(len(rows)), trees or self.trees
+        leaves = max(trees, min(leaves, trees << self.depth))
+        cost = np.full((count, trees + leaves * self.depth), np.inf)
         tree_of = np.zeros(cost.shape, np.int16)
         node_of = np.zeros(cost.shape, np.int32)
-        cost[:, : self.trees], tree_of[:, : self.trees] = 0.0, np.arange(self.trees)
+        cost[:, :trees], tree_of[:, :trees] = 0.0, np.arange(trees)
         chosen = np.empty((count, leaves), np.int64)
-        slot = self.trees
+        slot = trees
         for turn in range(leaves):
-            nearest = np.full(count, turn) if turn < self.trees else cost.argmin(1)
+            nearest = np.full(count, turn) if turn < trees else cost.argmin(1)
             price, tree, node = cost[own, nearest], tree_of[own, nearest].astype(int), node_of[own, nearest].astype(int)
             cost[own, nearest] = np.inf
             for step in range(self.depth):
@@ -101,8 +108,9 @@ def depth_for(rows: int, sample: int, leaf_rows: int) -> int:
     return max(0, int(np.ceil(np.log2(leaves)))) if leaves > 1 else 0
 
 
-def best_of(ids: np.ndarray, vecs: np.ndarray, who: np.ndarray, rows: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(searcher, neighbour, similarity) of the k most similar of ids for each searcher; ties by the smaller id."""
+def best_of(ids: np.ndarray, vecs: np.ndarray, who: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(searcher, neighbour, similarity) of the k most similar of ids for each searcher, none below its least; ties by
+    the smaller id."""
     order = np.argsort(ids)
     ids, vecs = ids[order], vecs[order]
     out: list[tuple] = []
@@ -114,13 +122,11 @@ def best_of(ids: np.ndarray, vecs: np.ndarray, who: np.ndarray, rows: np.ndarray
         at = np.minimum(at, len(ids) - 1)
         itself = ids[at] == q
         near[np.flatnonzero(itself), at[itself]] = -np.inf
-        if least > -1:
-            i, j = np.nonzero(near >= least)
-        elif near.shape[1] > k:
-            floor = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
-            i, j = np.nonzero((near >= floor[:, None]) & (near > -np.inf))
-        else:
-            i, j = np.nonzero(near > -np.inf)
+        floor = least[start : start + step].copy()
+        free = np.flatnonzero(floor <= -1)
+        if len(free) and near.shape[1] > k:
+            floor[free] = np.partition(near[free], near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        i, j = np.nonzero((near >= floor[:, None]) & (near > -np.inf))
         if not len(i):
             continue
         out.append(top_of(q[i], ids[j], near[i, j], k))
@@ -145,7 +151,7 @@ def top_of(who: np.ndarray, ids: np.ndarray, near: np.ndarray, k: int) -> tuple[
     return who[keep], ids[keep], near[keep]
 
 
-def search_leaf(ids: np.ndarray, vecs: np.ndarray, who: np.ndarray, rows: np.ndarray, k: int, least: float, leaf_rows: int, leaves: int) -> tuple:
+def search_leaf(ids: np.ndarray, vecs: np.ndarray, who: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray, leaf_rows: int, leaves: int) -> tuple:
     """Exact within a leaf of up to 8 * leaf_rows rows; a larger one gets a forest of its own."""
     if len(ids) <= 8 * leaf_rows:
         return best_of(ids, vecs, who, rows, k, least)
@@ -157,66 +163,124 @@ def search_leaf(ids: np.ndarray, vecs: np.ndarray, who: np.ndarray, rows: np.nda
         for leaf in np.unique(visit):
             inside, asking = np.flatnonzero(home == leaf), np.flatnonzero((visit == leaf).any(1)) + start
             if len(inside) and len(asking):
-                parts.append(best_of(ids[inside], vecs[inside], who[asking], rows[asking], k, least))
+                parts.append(best_of(ids[inside], vecs[inside], who[asking], rows[asking], k, least[asking]))
     return top_of(*(np.concatenate(p) for p in zip(*parts)), k) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
-def fit_forest(distinct: DataFrame, rows: int, width: int, trees: int, leaf_rows: int, sample_rows: int) -> Forest:
-    """A forest of a sample of at most about sample_rows rows, chosen by a hash of the id."""
-    share = min(1.0, sample_rows / max(rows, 1))
+def as_delivered(rows: np.ndarray) -> np.ndarray:
+    return rows.astype(float)
+
+
+def fit_forest(distinct: DataFrame, rows: int, width: int, trees: int, leaf_rows: int, sample_rows: int, unit: Callable = as_delivered) -> Forest:
+    """A forest of a sample of about sample_rows rows, or 8 for every leaf up to MOST_SAMPLE, chosen by a hash of the id."""
+    share = min(1.0, max(sample_rows, min(MOST_SAMPLE, 8 * rows // leaf_rows)) / max(rows, 1))
     picked = distinct if share == 1.0 else distinct.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = np.array([r.vec for r in picked.orderBy("id").collect()], float).reshape(-1, width)
+    sample = unit(np.array([r.vec for r in picked.orderBy("id").collect()], float).reshape(-1, width))
     return Forest(sample, trees, depth_for(rows, len(sample), leaf_rows))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, least: float = -2.0, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search_leaves: int = SEARCH_LEAVES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """id, neighbour, similarity: up to k rows per id. vectors: id (bigint), vec (unit array<double>).
+def _by_group(visit: np.ndarray, trees: int, depth: int, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, group, offsets, leaves): one entry for every group of 2 ** below leaves that a row visits, with its leaves there."""
+    order = np.sort(visit, axis=1)
+    group = order >> below
+    new = np.ones(order.shape, bool)
+    new[:, 1:] = group[:, 1:] != group[:, :-1]
+    first = np.flatnonzero(new.ravel())
+    return first // order.shape[1], group.ravel()[first], np.r_[first, order.size].astype(np.int32), order.ravel()
+
+
+def _search_group(table: pa.Table, width: int, unit: Callable, k: int, leaf_rows: int, search_leaves: int) -> tuple:
+    """The k best within whole groups of leaves for every row that searches some. table: home, id, vec, floor, leaves."""
+    home, ids, floor = (table.column(c).to_numpy() for c in ("home", "id", "floor"))
+    vecs = unit(matrix(table.column("vec").combine_chunks(), width))
+    leaves = table.column("leaves").combine_chunks()
+    asked, asker = leaves.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(leaves.offsets.to_numpy()))
+    order, members = np.argsort(asked, kind="stable"), np.argsort(home, kind="stable")
+    found = []
+    for leaf in np.unique(home[home >= 0]):
+        inside = members[slice(*np.searchsorted(home[members], [leaf, leaf + 1]))]
+        asking = asker[order[slice(*np.searchsorted(asked[order], [leaf, leaf + 1]))]]
+        if len(asking):
+            found.append(search_leaf(ids[inside], vecs[inside], ids[asking], vecs[asking], k, floor[asking], leaf_rows, search_leaves))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return top_of(*(np.concatenate(c) for c in zip(*found)), k)
 
-    least: neighbours below it are not wanted; they are left out where they are found, before anything is shuffled.
+
+def nearest_neighbours(vectors: DataFrame, k: int = 10, least: float = -2.0, trees: int = TREES, leaf_rows: int = LEAF_ROWS, search_leaves: int = SEARCH_LEAVES, sample_rows: int = SAMPLE_ROWS, unit: Callable = as_delivered) -> DataFrame:
+    """id, neighbour, similarity: up to k rows per id. vectors: id (bigint), vec (array of float or double).
+
+    unit: turns a matrix of delivered vecs into unit vectors of doubles. least: neighbours below it are not wanted.
     """
+    spark = vectors.sparkSession
     copies = vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     distinct = materialize(copies, "distinct-vectors")
     head = distinct.select(F.count("*").alias("rows"), F.max(F.size("vec")).alias("width"), F.max("n").alias("n")).first()
     if not head.rows:
-        return vectors.sparkSession.createDataFrame([], "id bigint, neighbour bigint, similarity double")
-    width = head.width
-    forest = vectors.sparkSession.sparkContext.broadcast(fit_forest(distinct, head.rows, width, trees, leaf_rows, sample_rows))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return spark.createDataFrame([], "id bigint, neighbour bigint, similarity double")
+    width, rows = head.width, head.rows
+    fitted = fit_forest(distinct, rows, width, trees, leaf_rows, sample_rows, unit)
+    forest, depth = spark.sparkContext.broadcast(fitted), fitted.depth
+    # groups: leaves of about GROUP_ROWS rows, but of all trees together two for every core
+    groups = max(rows / GROUP_ROWS, 2 * spark.sparkContext.defaultParallelism / trees)
+    below = depth - min(depth, int(np.ceil(np.log2(groups))))
+    number = vectors.schema["vec"].dataType.simpleString()
+    routed = f"grp int, home int, id bigint, vec {number}, floor double, leaves array<int>"
+
+    def sent(batch_ids: pa.Array, delivered: np.ndarray, floor: np.ndarray, home: np.ndarray, visit: np.ndarray) -> pa.RecordBatch:
+        """home: the rows' own leaves of some trees; visit: the leaves they search."""
+        row, group, offsets, leaves = _by_group(visit, trees, depth, below)
+        own = np.full(len(row), -1)
+        for t in range(home.shape[1]):
+            here = home[row, t] >> below == group
+            own[here] = home[row, t][here]
+        columns = [pa.array(group.astype(np.int32)), pa.array(own.astype(np.int32)), batch_ids.take(pa.array(row)), lists(delivered[row]), pa.array(floor[row]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaves.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays(columns, names=["grp", "home", "id", "vec", "floor", "leaves"])
+
+    def first_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
-                rows = matrix(batch.column(1), width)
-                visit = forest.value.probe(rows, search_leaves)
-                count = visit.shape[1]
-                # a row lies in its own leaves, which come first, and searches all of them
-                lies = np.tile(np.arange(count) < forest.value.trees, len(rows))
-                source = np.repeat(np.arange(len(rows)), count)
-                yield pa.RecordBatch.from_arrays([pa.array(visit.ravel()), pa.array(lies), batch.column(0).take(pa.array(source)), lists(rows[source])], names=["leaf", "lies", "id", "vec"])
+                delivered = matrix(batch.column(1), width)
+                visit = forest.value.probe(unit(delivered), FLOOR_LEAVES, 1)
+                home = visit[:, :1]
+                # only the leaves beside the own one, in the same group
+                visit = np.where(visit >> below == home >> below, visit, home)
+                yield sent(batch.column(0), delivered, np.full(len(delivered), least), home, visit)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in sorted_runs(batches):
+            who, _, near = _search_group(run, width, unit, k, leaf_rows, FLOOR_LEAVES)
+            ids, delivered = run.column("id").to_numpy(), matrix(run.column("vec").combine_chunks(), width)
+            # the k-th best of the rows that found k; best first
+            last = np.flatnonzero(np.r_[who[1:] != who[:-1], True]) if len(who) else np.empty(0, int)
+            held = np.diff(np.r_[-1, last]) >= k
+            order = np.argsort(ids)
+            floor = np.full(len(ids), least)
+            at = order[np.searchsorted(ids[order], who[last[held]])]
+            floor[at] = np.maximum(least, near[last[held]] - 1e-12)
+            for start in range(0, len(ids), 4096):
+                part = slice(start, start + 4096)
+                visit = forest.value.probe(unit(delivered[part]), search_leaves)
+                yield sent(pa.array(ids[part]), delivered[part], floor[part], visit[:, :trees], visit)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in sorted_runs(batches):
-            leaf = run.column("leaf").to_numpy()
-            starts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-            ids, lies = run.column("id").to_numpy(), run.column("lies").to_numpy()
-            vecs = matrix(run.column("vec").combine_chunks(), width)
-            for a, b in zip(starts, [*starts[1:], len(leaf)]):
-                here = lies[a:b]
-                if here.any():
-                    found = search_leaf(ids[a:b][here], vecs[a:b][here], ids[a:b], vecs[a:b], k, least, leaf_rows, search_leaves)
-                    if len(found[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "neighbour", "similarity"])
+            found = _search_group(run, width, unit, k, leaf_rows, search_leaves)
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "neighbour", "similarity"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in sorted_runs(batches):
             found = top_of(*(run.column(i).to_numpy() for i in range(3)), k)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "neighbour", "similarity"])
 
-    spark = vectors.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-head.rows * search_leaves // 500_000))
-    routed = distinct.select("id", "vec").mapInArrow(route, "leaf bigint, lies boolean, id bigint, vec array<double>")
-    pairs = routed.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(meet, "id bigint, neighbour bigint, similarity double")
-    best = pairs.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(merge, "id bigint, neighbour bigint, similarity double")
+    parts = max(1, (trees << depth) >> below)
+    result = "id bigint, neighbour bigint, similarity double"
+    in_groups = lambda df, n: df.repartitionById(n, F.col("grp")).sortWithinPartitions("grp")
+    floored = in_groups(distinct.select("id", "vec").mapInArrow(first_tree, routed), max(1, parts // trees)).mapInArrow(route, routed)
+    pairs = in_groups(floored, parts).mapInArrow(meet, result)
+    best = together(pairs, "id", parts_for(spark, rows * k, 5_000_000)).mapInArrow(merge, result)
     return best if head.n == 1 else _with_copies(vectors, distinct, best, k)
 
 
@@ -239,21 +303,21 @@ def _with_copies(vectors: DataFrame, distinct: DataFrame, best: DataFrame, k: in
     return rows.withColumn("rn", F.row_number().over(per_row)).filter(F.col("rn") <= k).select("id", "neighbour", "similarity")
 
 
-def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20_000) -> DataFrame:
+def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20_000, unit: Callable = as_delivered) -> DataFrame:
     """The same by brute force for a stated set of query rows, against all rows in blocks; to measure recall with.
 
     The query set is collected, so it must be a stated one of bounded size.
     """
     asked = queries.orderBy("id").collect()
     width = len(asked[0].vec) if asked else 1
-    who, rows = np.array([r.id for r in asked], np.int64), np.array([r.vec for r in asked], float).reshape(-1, width)
+    who, rows = np.array([r.id for r in asked], np.int64), unit(np.array([r.vec for r in asked], float).reshape(-1, width))
     sent = vectors.sparkSession.sparkContext.broadcast((who, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, block):
                 batch = whole.slice(start, block)
-                found = best_of(batch.column(0).to_numpy(), matrix(batch.column(1), width), *sent.value, k, -2.0)
+                found = best_of(batch.column(0).to_numpy(), unit(matrix(batch.column(1), width)), *sent.value, k, np.full(len(sent.value[0]), -2.0))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "neighbour", "similarity"])
 
     found = vectors.select("id", "vec").mapInArrow(run, "id bigint, neighbour bigint, similarity double")

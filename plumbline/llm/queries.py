@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, clusters, cutoff, neighbours, packing, percentiles, subjects, termcounts, topn
-from plumbline.llm.signatures import unit_vectors
+from plumbline.llm.signatures import scaled_parts, unit_vectors, usable_signatures
 from plumbline.session import materialize
 from plumbline.tables import current_rows, lane, status, strip, table, usable
 
@@ -52,26 +52,34 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(unit_vectors(current_rows(rows, "metric_id"), "metric_id", _SIGNATURES), "signatures")
 
 
+_UNIT = scaled_parts(tuple(_SIGNATURES.values()))
+
+
+def _delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "parser_metrics").select("run_id", "image", "metric_id", "loaded_at", *_SIGNATURES)
+    return materialize(usable_signatures(current_rows(rows, "metric_id"), "metric_id", _SIGNATURES), "signatures")
+
+
 @query()
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of which one row is among the ten most similar of the other, at a similarity of 0.999998 or more."""
-    near = neighbours.nearest_neighbours(_vectors(spark, sf_dir), 10, least=0.999998)
+    near = neighbours.nearest_neighbours(_delivered(spark, sf_dir), 10, unit=_UNIT).filter("similarity >= 0.999998")
     return near.select(F.least("id", "neighbour").alias("metric_id_a"), F.greatest("id", "neighbour").alias("metric_id_b")).distinct()
 
 
 @query()
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar rows of every row, with their similarity."""
-    near = neighbours.nearest_neighbours(_vectors(spark, sf_dir), 10)
+    near = neighbours.nearest_neighbours(_delivered(spark, sf_dir), 10, unit=_UNIT)
     return near.select(F.col("id").alias("metric_id"), F.col("neighbour").alias("neighbour_id"), "similarity")
 
 
 @query()
 def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the true ten most similar rows that the forest finds, over the rows whose id is divisible by 50."""
-    vectors = _vectors(spark, sf_dir)
-    exact = neighbours.exact_neighbours(vectors, vectors.filter("id % 50 = 0"), 10)
-    near = neighbours.nearest_neighbours(vectors, 10)
+    vectors = _delivered(spark, sf_dir)
+    exact = neighbours.exact_neighbours(vectors, vectors.filter("id % 50 = 0"), 10, unit=_UNIT)
+    near = neighbours.nearest_neighbours(vectors, 10, unit=_UNIT)
     both = exact.join(near.select("id", "neighbour", F.lit(1).alias("hit")), ["id", "neighbour"], "left")
     return both.agg(F.count("*").alias("wanted"), F.count("hit").alias("found"), F.try_divide(F.count("hit"), F.count("*")).alias("recall"))
 
@@ -97,7 +105,6 @@ _TERMS = {"anchor_candidates": "candidate_id", "view_routes": "route_id"}
 
 def _term_store(spark: SparkSession, sf_dir: str) -> tuple[termcounts.TermCounts, DataFrame]:
     """The counts after two merges: the rows loaded up to 30 days before the last load, then what changed since."""
-    store = termcounts.TermCounts(spark)
     changes = None
     for origin, row_id in _TERMS.items():
         rows = table(spark, sf_dir, origin)
@@ -109,8 +116,10 @@ def _term_store(spark: SparkSession, sf_dir: str) -> tuple[termcounts.TermCounts
     counted = changes.withColumn("terms", F.concat("terms", F.array(F.lit(""))))
     deltas = termcounts.term_deltas(counted, "terms", "sign", ("origin", "batch"))
     deltas = materialize(deltas, "term-deltas")
-    for batch in (0, 1):
-        store.merge(deltas.filter(F.col("batch") == batch).drop("batch"))
+    # the second merge takes up what the first one saved, as another day's run would
+    first = termcounts.TermCounts(spark, buckets=termcounts.buckets_for(deltas.count()))
+    saved = first.merge(deltas.filter("batch = 0").drop("batch"), written=True).save()
+    store = termcounts.TermCounts.open(spark, saved).merge(deltas.filter("batch = 1").drop("batch"), written=True)
     counts = store.counts()
     totals = counts.filter("term = ''").select("origin", F.col("records").alias("n_records"))
     return store, termcounts.mark_terms(counts.filter("term <> ''"), totals)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +14,19 @@ def _norm(c: Column) -> Column:
     return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
 
 
-def unit_vectors(df: DataFrame, row_id: str, parts: dict[str, int], least_norm: float = 1e-8) -> DataFrame:
+def unit_vectors(df: DataFrame, row_id: str, parts: dict[str, int], least_norm: float = 1e-8, instead: Column | None = None) -> DataFrame:
     """id and vec of the usable rows: each part scaled to length one, the parts joined and scaled to length one.
 
     The dot product of two vecs is then the mean of the parts' cosines. A row is usable if every part has its number of
     elements, all of them finite and not null, and a norm above least_norm. Other rows, null ones included, drop out.
+    instead: what is wanted of the usable rows in place of the vec.
     """
     good: Column = F.lit(True)
     doubles = {name: F.transform(F.col(name), lambda x: x.cast("double")) for name in parts}
     for name, size in parts.items():
         element = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
         good = good & F.coalesce((F.size(name) == size) & F.forall(name, element), F.lit(False))
-    rows = df.filter(good).select(F.col(row_id).alias("id"), *[doubles[p].alias(f"__{p}") for p in parts], *[_norm(doubles[p]).alias(f"__n_{p}") for p in parts])
+    rows = df.filter(good).select(F.col(row_id).alias("id"), *[doubles[p].alias(f"__{p}") for p in parts], *[_norm(doubles[p]).alias(f"__n_{p}") for p in parts], *([] if instead is None else [instead.alias("__vec")]))
     for name in parts:
         rows = rows.filter(F.col(f"__n_{name}") > least_norm)
     scale = float(np.sqrt(len(parts)))
@@ -34,7 +35,26 @@ def unit_vectors(df: DataFrame, row_id: str, parts: dict[str, int], least_norm:
         length = F.col(f"__n_{part}") * scale
         return F.transform(F.col(f"__{part}"), lambda x: x / length)
 
-    return rows.select("id", F.concat(*map(scaled, parts)).alias("vec"))
+    return rows.select("id", (F.concat(*map(scaled, parts)) if instead is None else F.col("__vec")).alias("vec"))
+
+
+def usable_signatures(df: DataFrame, row_id: str, parts: dict[str, int], least_norm: float = 1e-8) -> DataFrame:
+    """id and vec of the same rows as unit_vectors, the parts joined as they were delivered; see scaled_parts."""
+    return unit_vectors(df, row_id, parts, least_norm, F.concat(*parts))
+
+
+def scaled_parts(sizes: tuple[int, ...]) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that makes unit_vectors' vecs of a matrix of signatures as delivered, in double precision."""
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        out, at = rows.astype(float), 0
+        for size in sizes:
+            part = out[:, at : at + size]
+            part /= np.sqrt((part * part).sum(1, keepdims=True) * len(sizes))
+            at += size
+        return out
+
+    return unit
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:

@@ -74,7 +74,7 @@ def test_a_leaf_larger_than_planned_gets_its_own_forest():
     rng = np.random.default_rng(2)
     vecs = unit(rng.normal(size=(2000, 4)))
     ids = np.arange(2000)
-    who, found, _ = neighbours.search_leaf(ids, vecs, ids[:50], vecs[:50], 5, -2.0, 100, 12)
+    who, found, _ = neighbours.search_leaf(ids, vecs, ids[:50], vecs[:50], 5, np.full(50, -2.0), 100, 12)
     near = vecs[:50] @ vecs.T
     near[np.arange(50), np.arange(50)] = -2
     want = {(i, j) for i in range(50) for j in np.argsort(-near[i])[:5]}
