@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as vec
+from plumbline.functions.scalars import finite_or_null
 from plumbline.operators import cohesion, repeatability as rp, replay
 from plumbline.plans.base import DECISIONS, ITEMS, decisions, items, rounded
 from plumbline.plans.registry import query
@@ -97,6 +98,37 @@ def replay_whatif(spark, d):
     return rounded(_replayed(spark, d))
 
 
+_MODULES = {"face": 0.4, "upper_body": 0.35, "full_body": 0.25}
+_STATE_SQL = "CASE WHEN conf < 0.05 THEN 'FAIL' WHEN conf < 0.35 THEN 'WARN' WHEN {m} >= pass_at THEN 'PASS' WHEN {m} >= warn_at THEN 'WARN' ELSE 'FAIL' END"
+_FINITE_SQL = "CASE WHEN isfinite(scores.{m}) THEN scores.{m} END"
+_CHAINED = (
+    "SELECT trial, pass_at, warn_at, expected, CASE WHEN failed AND fused < warn_at THEN 'FAIL' WHEN NOT failed AND fused >= pass_at THEN 'PASS' ELSE 'WARN' END AS predicted, 1.0::DOUBLE AS weight FROM (SELECT *, 'FAIL' IN ("
+    + ", ".join(_STATE_SQL.format(m=m) for m in _MODULES)
+    + ") AS failed, ("
+    + " + ".join(f"coalesce({m}, 0) * ({w}::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * conf))" for m, w in _MODULES.items())
+    + ") / ("
+    + " + ".join(f"{w}::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * conf)" for w in _MODULES.values())
+    + ") AS fused FROM (SELECT status AS expected, coalesce("
+    + _FINITE_SQL.format(m="constitution")
+    + ", 0) AS conf, "
+    + ", ".join(f"{_FINITE_SQL.format(m=m)} AS {m}" for m in _MODULES)
+    + f" FROM {ITEMS} WHERE status IN ('PASS', 'WARN', 'FAIL')), {_TRIALS_SQL} t(trial, pass_at, warn_at))"
+)
+
+
+@query("q_replay_chain", _REPLAYED.replace(_DECIDED, _CHAINED))
+def replay_chain(spark, d):
+    """Modules classified, scores fused and the item decided under each trial's thresholds, in one pass."""
+    scores = {m: finite_or_null(F.col(f"scores.{m}")) for m in _MODULES}
+    conf = F.coalesce(finite_or_null(F.col("scores.constitution")), F.lit(0.0))
+    rows = items(spark, d).filter(F.col("status").isin("PASS", "WARN", "FAIL")).select("status", conf.alias("conf"), *[c.alias(m) for m, c in scores.items()], F.lit(1.0).alias("w"))
+    states = F.array(*[replay.classify_module(m, "conf", "trial.pass_at", "trial.warn_at", m)["state"] for m in _MODULES])
+    fused = replay.fused_score([(m, "conf", w) for m, w in _MODULES.items()])
+    failed = F.array_contains(states, "FAIL")
+    predicted = F.when(failed & (fused < F.col("trial.warn_at")), "FAIL").when(~failed & (fused >= F.col("trial.pass_at")), "PASS").otherwise("WARN")
+    return rounded(replay.replay(rows, _TRIALS, predicted, "status", "w"))
+
+
 @query("q_best_trials", f"SELECT trial, safety FROM ({_REPLAYED}) ORDER BY safety DESC, trial LIMIT 3")
 def best_trials(spark, d):
     """The three best trials."""
