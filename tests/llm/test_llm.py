@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, clusters, cutoff, neighbours, packing, percentiles, queries, subjects, termcounts, topn
-from plumbline.llm.signatures import unit_vectors
+from plumbline.llm.signatures import scaled_parts, unit_vectors, usable_signatures
 from tests.conftest import rows_of
 
 VECTORS = "id bigint, vec array<double>"
@@ -42,6 +42,32 @@ def test_unusable_signatures_drop_out(spark):
     assert np.allclose(got[0].vec, [math.sqrt(0.5), 0, 0, 0, math.sqrt(0.5)])
 
 
+def test_signatures_as_delivered_scale_to_the_same_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3).astype(np.float32)], [float(x) for x in rng.normal(size=2).astype(np.float32)]) for i in range(50)] + [(60, None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "metric_id bigint, a array<float>, b array<float>").withColumn("vec", F.lit(1))
+    parts = {"a": 3, "b": 2}
+    want = {r.id: r.vec for r in unit_vectors(df, "metric_id", parts).collect()}
+    got = {r.id: r.vec for r in usable_signatures(df, "metric_id", parts).collect()}
+    assert got.keys() == want.keys() and len(got) == 50
+    unit_rows = scaled_parts((3, 2))(np.array([got[i] for i in range(50)], np.float32))
+    assert np.allclose(unit_rows, [want[i] for i in range(50)], atol=1e-14)
+
+
+def test_a_forest_of_several_groups_of_leaves(spark, monkeypatch):
+    """Rows go to each group once, and the floor of the first tree loses no neighbour that the search alone would find."""
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 150)
+    rng = np.random.default_rng(8)
+    vecs = unit(np.concatenate([rng.normal(size=(900, 5)), rng.normal(size=(1, 5)) + rng.normal(scale=0.01, size=(300, 5))]))
+    got = {}
+    for r in neighbours.nearest_neighbours(frame(spark, vecs), 6, leaf_rows=50, search_leaves=30).collect():
+        got.setdefault(r.id, []).append((r.neighbour, r.similarity))
+    want = brute_neighbours(range(1, 1201), vecs, 6)
+    assert all(len(v) == 6 for v in got.values()) and len(got) == 1200
+    assert len({(a, b) for a, v in got.items() for b, _ in v} & want) / len(want) >= 0.95
+    assert all(abs(vecs[a - 1] @ vecs[b - 1] - s) < 1e-12 for a, v in got.items() for b, s in v)
+
+
 def brute_neighbours(ids, vecs, k):
     near = vecs @ vecs.T
     return {(a, b) for i, a in enumerate(ids) for b in [y for _, y in sorted((-near[i, j], ids[j]) for j in range(len(ids)) if j != i)[:k]]}
@@ -208,6 +234,8 @@ def test_merged_deltas_equal_a_recount(spark):
     got = rows_of(store.counts().select("term", "occurrences", "records"))
     assert got == want
     again = termcounts.TermCounts.restore(spark, store.manifest())
+    assert rows_of(termcounts.TermCounts.open(spark, store.save()).counts()) == rows_of(store.counts())
+    assert termcounts.buckets_for(10) == 16 and termcounts.buckets_for(100_000_001) == 101
     gone = store.counts().withColumn("occurrences", -F.col("occurrences")).withColumn("records", -F.col("records"))
     assert again.merge(gone).counts().count() == 0
     assert again.merge(gone.limit(0)).counts().count() == 0
@@ -436,6 +464,14 @@ def test_subjects_of_held_out_documents(spark):
     assert len(whole) == 600 and all(abs(r.p - 1) < 1e-9 for r in whole)
 
 
+def test_a_vocabulary_holds_what_has_its_share_in_some_language(spark):
+    rows = [("en", ["common"] * 996 + ["rare"] * 4), ("de", ["rare"] * 3 + ["once"]), (None, ["lost"] * 3), ("es", None)]
+    split = spark.createDataFrame(rows, "lang string, terms array<string>")
+    assert subjects.vocabulary(split, share=0.01) == ["common", "lost", "rare"]
+    assert subjects.vocabulary(split.filter("lang = 'en'"), share=0.01) == ["common"]
+    assert subjects.vocabulary(split.limit(0)) == []
+
+
 def test_subjects_without_documents_or_labels(spark):
     empty = spark.createDataFrame([], "id bigint, lang string, text string")
     none = spark.createDataFrame([], "id bigint, area string")
