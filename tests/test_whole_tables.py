@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from tests.conftest import rows_of
 
 import __spark_entry__
 from plumbline.llm import bpe
+from plumbline.operators import graph
 
 QUERIES = __spark_entry__.queries()
 
@@ -50,6 +52,36 @@ def test_graphs_over_the_whole_table(spark, tmp_path):
     assert run("q_whole_dangling_edges") == sorted(issues, key=repr)
 
 
+def _shuffled_rows(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_ancestors_shuffle_fewer_rows_than_there_are_pairs(spark):
+    rng = random.Random(11)
+    edges = [(s, t) for t in range(1000) for s in rng.sample(range(400), 12)]
+    before = _shuffled_rows(spark)
+    found = rows_of(graph.ancestors(spark.createDataFrame(edges, "source_id long, target_id long")))
+    assert found == sorted(((n, a, k) for (n, a), k in _distances(set(edges)).items()), key=repr)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0 < sum(n for stage, n in _shuffled_rows(spark).items() if stage not in before) < len(found)
+
+
+def test_ancestors_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART_NODES", 3)
+    run = lambda edges, **rounds: rows_of(graph.ancestors(spark.createDataFrame(edges, "source_id string, target_id string"), **rounds))
+    rng = random.Random(2)
+    edges = [(f"n{rng.randrange(12)}", f"n{rng.randrange(20)}") for _ in range(30)]
+    assert run(edges) == sorted(((n, a, k) for (n, a), k in _distances(set(edges)).items()), key=repr)
+    # null is an end like any other, but no path goes on through it
+    assert run([("a", "b"), (None, "a"), ("b", None), (None, "x")]) == sorted([("b", "a", 1), ("a", None, 1), (None, "b", 1), (None, "a", 2), ("b", None, 2), (None, None, 3), ("x", None, 1)], key=repr)
+    path = [(f"n{i}", f"n{i + 1}") for i in range(4)]
+    assert len(run(path, most_rounds=4)) == 10
+    with pytest.raises(RuntimeError, match="longer than 3 edges"):
+        run(path, most_rounds=3)
+
+
 def test_every_brand_has_a_reference_and_every_run_a_comparison(spark, tmp_path):
     parts = [(k, f"b{k % 7}", 10.0 * k) for k in range(20, 60)]
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
