@@ -68,6 +68,27 @@ def test_ancestors_shuffle_fewer_rows_than_there_are_pairs(spark):
     assert 0 < sum(n for stage, n in _shuffled_rows(spark).items() if stage not in before) < len(found)
 
 
+def _shuffled_bytes(spark):
+    gateway = spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+def test_ancestors_shuffle_less_than_two_bytes_for_each_pair(spark):
+    rng = random.Random(5)
+    edges = [(f"node-{s}", f"node-{t}") for t in range(3000) for s in rng.sample(range(400), 12)]
+    before = _shuffled_bytes(spark)
+    found = graph.ancestors(spark.createDataFrame([*edges, *edges[:99]], "source_id string, target_id string")).collect()
+    want = _distances(set(edges))
+    assert len(found) == len(want) and {(r.node_id, r.ancestor_id): r.distance for r in found} == want
+    assert 0 < sum(n for stage, n in _shuffled_bytes(spark).items() if stage not in before) < 2 * len(want)
+
+
+def test_ancestors_of_no_edges(spark):
+    assert graph.ancestors(spark.createDataFrame([], "source_id string, target_id string")).collect() == []
+
+
 def test_ancestors_over_many_parts(spark, monkeypatch):
     monkeypatch.setattr(graph, "PART_NODES", 3)
     run = lambda edges, **rounds: rows_of(graph.ancestors(spark.createDataFrame(edges, "source_id string, target_id string"), **rounds))
